@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from .op5_token_files import op5_token_files
+from .op7_packing import op7_packing
 from .op8_sharding import op8_sharding
 from .op10_winnowing import op10_winnowing
 
-QUERIES = {
-    "op8_sharding": op8_sharding,
-    "op10_winnowing": op10_winnowing,
-}
+QUERIES = {f.__name__: f for f in (op5_token_files, op7_packing, op8_sharding, op10_winnowing)}
 ORACLE_SQL: dict[str, str] = {}
