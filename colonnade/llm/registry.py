@@ -5,9 +5,10 @@ from __future__ import annotations
 from .op1_media_chunks import op1_media_chunks
 from .op2_quality import op2_quality
 from .op5_token_files import op5_token_files
+from .op6_jaccard_join import op6_jaccard_join
 from .op7_packing import op7_packing
 from .op8_sharding import op8_sharding
 from .op10_winnowing import op10_winnowing
 
-QUERIES = {f.__name__: f for f in (op1_media_chunks, op2_quality, op5_token_files, op7_packing, op8_sharding, op10_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_media_chunks, op2_quality, op5_token_files, op6_jaccard_join, op7_packing, op8_sharding, op10_winnowing)}
 ORACLE_SQL: dict[str, str] = {}
