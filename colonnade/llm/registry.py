@@ -9,6 +9,7 @@ from .op6_jaccard_join import op6_jaccard_join
 from .op7_packing import op7_packing
 from .op8_sharding import op8_sharding
 from .op10_winnowing import op10_winnowing
+from .oracle import JACCARD_JOIN
 
 QUERIES = {f.__name__: f for f in (op1_media_chunks, op2_quality, op5_token_files, op6_jaccard_join, op7_packing, op8_sharding, op10_winnowing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_jaccard_join": JACCARD_JOIN}
