@@ -226,6 +226,17 @@ def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
     return kept.mapInArrow(scored, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
+def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with their columns as they are, in one pass."""
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            yield batch.filter(pa.array(model.score(statistics(*text_bytes(batch.column(at)))) >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -235,15 +235,37 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return found
 
 
+def _row_key():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def document_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, n, component) of each row; component is the class that names its group, 0 without shingles."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text")
+    rows = materialize(rows.mapInArrow(_classes, "doc_id long, row_key long, n long, sid long"), "classes")
+    found = class_links(docs, rows.where("n > 0"))
+    named = rows.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    return named.select("doc_id", "row_key", "n", F.coalesce("component", "sid").alias("component"))
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key"), "text").mapInArrow(_classes, "doc_id long, row_key long, n long, sid long"), "classes")
-    found = class_links(docs, rows.where("n > 0"))
-    named = rows.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = named.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = document_classes(docs)
+    some = named.where("n > 0")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = some.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return joined.unionByName(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without near copies: of each group the row of the least doc_id (nulls last, ties by text hash) stays; so do all rows without shingles."""
+    named = document_classes(docs)
+    first = named.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "row_key")).alias("f"))
+    bare = named.where("n = 0").select("row_key").distinct()
+    keyed = docs.withColumn("_row_key", _row_key()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    chosen = keyed.join(first.select(F.col("f.row_key").alias("_row_key"), F.coalesce("f.doc_id", F.lit(0)).alias("_id")), ["_row_key", "_id"], "left_semi").dropDuplicates(["_row_key", "_id"])
+    empty = keyed.join(bare.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_semi")
+    return chosen.select(*docs.columns).unionByName(empty.select(*docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
