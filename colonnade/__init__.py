@@ -1,0 +1 @@
+"""Colonnade: typed columnar tables with filters, joins, aggregates and vector search on Spark."""
