@@ -18,6 +18,8 @@ from ..types import kind_of
 METRICS = {"cosine": "similarity", "euclidean": "distance"}
 #: Vectors on which the index's cells are fitted, and the most cells.
 FIT_ROWS, MAX_CELLS = 20_000, 1024
+#: Recall that probing aims at, and the sample's queries that it is measured with.
+RECALL, CALIBRATION_QUERIES = 0.95, 200
 
 
 def parse_vector(text: str) -> list[float]:
@@ -59,11 +61,13 @@ def search(df: DataFrame, column: str, vector: Sequence[float], k: int = 5, metr
 class CellIndex:
     """Every vector in the cell of its nearest centre, by cosine. Centres are fitted on a bounded sample.
 
-    Tables of cells are Parquet partitioned by cell, so a search reads the probed cells only.
+    The number of cells that a search probes is the least that finds ``RECALL`` of the sample's own
+    ten nearest neighbours, so it follows how clustered the vectors are. Tables of cells are Parquet partitioned by cell, so a search reads the probed cells only.
     """
 
-    def __init__(self, centres: np.ndarray, column: str):
+    def __init__(self, centres: np.ndarray, column: str, default_probes: int | None = None):
         self.centres, self.column = centres, column
+        self.default_probes = default_probes or len(centres)
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, cells: int | None = None, rounds: int = 8, seed: int = 7) -> CellIndex:
@@ -85,7 +89,15 @@ class CellIndex:
             np.add.at(sums, own, x)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-        return cls(centres, column)
+        return cls(centres, column, cls._calibrate(x, centres, rng))
+
+    @staticmethod
+    def _calibrate(x: np.ndarray, centres: np.ndarray, rng: np.random.Generator) -> int:
+        q = x[rng.permutation(len(x))[:CALIBRATION_QUERIES]]
+        near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :10]
+        rank = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell, for each query
+        needed = np.sort(np.take_along_axis(rank, (x @ centres.T).argmax(1)[near], 1).ravel()) + 1
+        return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))])
 
     def assign(self, df: DataFrame) -> DataFrame:
         """``df`` with its cell; null vectors are left out, other lengths go to cell -1."""
@@ -109,16 +121,16 @@ class CellIndex:
         """Write the assigned table and the centres under ``path``."""
         spark = df.sparkSession
         self.assign(df).repartition("cell").write.partitionBy("cell").parquet(f"{path}/cells")
-        spark.createDataFrame([(json.dumps({"column": self.column, "centres": self.centres.tolist()}),)], "value string").coalesce(1).write.text(f"{path}/centres")
+        spark.createDataFrame([(json.dumps({"column": self.column, "probes": self.default_probes, "centres": self.centres.tolist()}),)], "value string").coalesce(1).write.text(f"{path}/centres")
 
     @classmethod
     def load(cls, spark, path: str) -> tuple[CellIndex, DataFrame]:
         found = json.loads(spark.read.text(f"{path}/centres").first()["value"])
-        return cls(np.array(found["centres"]), found["column"]), spark.read.parquet(f"{path}/cells")
+        return cls(np.array(found["centres"]), found["column"], found["probes"]), spark.read.parquet(f"{path}/cells")
 
     def probes(self, vector: Sequence[float], n: int | None = None) -> list[int]:
-        """The cells nearest to a query: by default a third of them, at least 8."""
-        n = n or max(8, -(-len(self.centres) // 3))
+        """The cells nearest to a query."""
+        n = n or self.default_probes
         q = np.zeros(self.centres.shape[1])
         q[: len(vector)] = list(vector)[: len(q)]
         return np.argsort(-(self.centres @ q), kind="stable")[:n].tolist()
