@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import arrow_schema, documents, materialize, partitions, range_bounds, range_bucket
-from .tokens import encoder
+from .common import arrow_schema, blocks, documents, materialize, partitions, range_bounds, range_bucket
+from .tokens import TOKEN_BLOCK, encoder, ids_of
 
 END_ID = 1
 #: A file is closed at the first document that brings it to this many ids.
@@ -54,10 +54,9 @@ def write_files(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in blocks([batch], most=TOKEN_BLOCK):
                 ranges, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for r, doc, tokens in zip(ranges, ids, enc.encode(part.column(2).to_pylist()), strict=True):
+                for r, doc, tokens in zip(ranges, ids, ids_of(enc, part.column(2)), strict=True):
                     if held_docs and r != current:
                         yield close()
                         held_docs, held_ids = [], []

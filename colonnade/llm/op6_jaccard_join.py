@@ -10,10 +10,11 @@
    and pairs of consecutive frequent shingles are indexed: two sets that link and share no rare
    shingle have o common ones and at most (n1 + n2) / 9 others between them, so some two common
    ones stand next to each other in both, within the first 0.45 n + 3 frequent ones.
-4. Verification in two rounds. First every class against the least class of each of its lists;
-   the links give components. Then, in each list, only pairs from different components, so that
-   a list of near copies costs a row a member and not all its pairs. No list is capped.
-   Sets are intersected exactly.
+4. Verification in two rounds. First every class against the head of each of its lists, the class with the
+   fewest rare shingles, so of a family of copies the one with the fewest edits; the links give
+   components. Then, in each list, only pairs from different components, so that a list of near
+   copies costs a row a member and not all its pairs. Of those, pairs whose parity sketches prove
+   them too far apart are left out. No list is capped. Sets are intersected exactly.
 
 Links are between sets of 64-bit hashes of 5-word shingles. Defined cases: a null or empty text, or
 one of white space, has no shingles and links with nothing; equal texts of fewer than 5 words link;
@@ -40,6 +41,8 @@ FREQUENT = 24
 #: Shingles that a map task gathers before it deals them out.
 DEAL_SHINGLES = 2_000_000
 PERCENT = 80
+SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _MANY = np.int64(-1)
 
 
@@ -48,6 +51,12 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little") >> 1 if len(tokens) else 0
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A bit per bucket of hashes: whether an odd number falls in. Two sketches differ in at most as many bits as the sets in elements."""
+    odd = np.bincount((tokens % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_overlap(n: np.ndarray) -> np.ndarray:
     """ceil(0.8 n)."""
     return -(-PERCENT * n // 100)
@@ -110,8 +119,8 @@ def _dealer(parts: int):
     return deal
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part row: how many of each class's shingles dealt here are shared."""
+def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """How many of each class's shingles dealt here are shared, as a packed row for each home of classes."""
     tokens, sids, given = [], [], []
     for batch in batches:
         for part, t, at, ids, sizes, settled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -139,19 +148,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.bincount(at, weights=np.concatenate([g[2] for g in given]), minlength=len(ids)).astype(np.int64)
     total += np.bincount(np.searchsorted(ids, shared_sids), minlength=len(ids))
     some = total > 0
-    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(total[some])], names=["sid", "n", "shared"])
+    ids, n, total = ids[some], n[some], total[some]
+    home = ids % parts
+    order = np.argsort(home, kind="stable")
+    ends = np.searchsorted(home[order], np.arange(parts + 1))
+    rows = [(h, *(c[order[a:b]].tobytes() for c in (ids, n, total))) for h, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 3, strict=True)], names=["home", "sids", "sizes", "shared"])
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes whose counts over all parts reach the least overlap; a class's counts share a home."""
+    held: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for i, c in enumerate(held):
+            c += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(i + 1)]
+    if held[0]:
+        ids, at = np.unique(np.concatenate(held[0]), return_inverse=True)
+        n = np.zeros(len(ids), np.int64)
+        n[at] = np.concatenate(held[1])
+        shared = np.bincount(at, weights=np.concatenate(held[2]), minlength=len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[100 * shared >= PERCENT * n])], names=["sid"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         sets = [s for s in shingle_sets(*text_bytes(batch.column(0))) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "tokens"])
+        sketches = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *map(pa.array, sketches.T)], names=["sid", "tokens", *SKETCH])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows (list_a, list_b, sid, n, at): a rare shingle and 0, or two consecutive frequent ones."""
+    """Index rows (list_a, list_b, sid, n, at, rare): a rare shingle and 0, or two consecutive frequent ones; rare counts the set's rare ones."""
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for sid, tokens, often in zip(*(batch.column(i) for i in range(3)), strict=True):
             t = np.array(tokens.values, np.int64)
             q = np.sort(np.array(often.values, np.int64)) if often.is_valid else t[:0]
@@ -165,9 +195,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append((q[:1], q[:1], np.full(1, len(r))))
                 keys.append((reach[:-1], reach[1:], len(r) + np.arange(len(reach) - 1)))
             for a, b, at in keys:
-                for c, v in zip(cols, (a, b, np.full(len(a), sid.as_py()), np.full(len(a), n), at), strict=True):
+                for c, v in zip(cols, (a, b, np.full(len(a), sid.as_py()), np.full(len(a), n), at, np.full(len(a), len(r))), strict=True):
                     c.append(v.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["list_a", "list_b", "sid", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["list_a", "list_b", "sid", "n", "at", "rare"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,31 +231,32 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * partitions(spark)
     dealt = docs.select("text").mapInArrow(_dealer(parts), "part int, tokens binary, at binary, sids binary, sizes binary, given binary")
-    counted = dealt.repartition(partitions(spark), "part").mapInArrow(_count, "sid long, n long, shared long")
-    live = counted.groupBy("sid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).where(f"100 * shared >= {PERCENT} * n").select("sid")
-    live = materialize(live, "live-classes")
+    counted = dealt.repartition(partitions(spark), "part").mapInArrow(lambda batches: _count(batches, parts), "home int, sids binary, sizes binary, shared binary")
+    live = materialize(counted.repartition(partitions(spark), "home").mapInArrow(_live, "sid long"), "live-classes")
     release(spark)
     keys = rows.join(live, "sid", "left_semi").groupBy("sid").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text").join(keys, "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
-    sets = materialize(texts.select("text").mapInArrow(_sets, "sid long, tokens array<long>").dropDuplicates(["sid"]), "sets")
+    sets = materialize(texts.select("text").mapInArrow(_sets, "sid long, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH)).dropDuplicates(["sid"]), "sets")
     release(spark)
     shingles = sets.select("sid", F.explode("tokens").alias("token"))
     often = shingles.groupBy("token").count().where(F.col("count") > FREQUENT).select("token")
     held = shingles.join(often, "token").groupBy("sid").agg(F.collect_list("token").alias("often"))  # at most one set's shingles
-    index = materialize(sets.join(held, "sid", "left").select("sid", "tokens", "often").mapInArrow(_index, "list_a long, list_b long, sid long, n long, at long"), "index")
+    index = materialize(sets.join(held, "sid", "left").select("sid", "tokens", "often").mapInArrow(_index, "list_a long, list_b long, sid long, n long, at long, rare long"), "index")
     release(spark)
     key = ["list_a", "list_b"]
-    heads = index.groupBy(*key).agg(F.min(F.struct("sid", "n", "at")).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
+    heads = index.groupBy(*key).agg(F.min(F.struct("rare", "sid", "n", "at")).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
     lists = materialize(index.join(heads, key).select(*key, "sid", "n", "at", "head"), "lists")
     stars = lists.where(F.col("sid") != F.col("head.sid")).where(_may_link(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
     links = _links(stars.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), sets)
     first = materialize(components(links), "components")
     # the rest: in each list, members outside its largest component against all members outside their own
-    named = lists.drop("head").join(first.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    sketched = lists.drop("head", "rare").join(sets.select("sid", *SKETCH), "sid")
+    named = sketched.join(first.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     sizes = named.groupBy(*key, "component").count().groupBy(*key).agg(F.max(F.struct("count", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
     split = materialize(named.join(sizes.select(*key, F.col("largest.component").alias("main")), key), "split-lists")
-    few = split.where(F.col("component") != F.col("main")).select(*key, *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "at", "component")))
-    cross = split.join(few, key).where(F.col("component") != F.col("component2")).where(_may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
+    few = split.where(F.col("component") != F.col("main")).select(*key, *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "at", "component", *SKETCH)))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))  # at most the number of shingles in one set only
+    cross = split.join(few, key).where(F.col("component") != F.col("component2")).where(_may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"))).where(apart * (100 + PERCENT) <= (F.col("n") + F.col("n2")) * (100 - PERCENT))
     rest = cross.select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct()
     more = _links(rest, sets)
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, documents, materialize
+from .common import arrow_schema, blocks, documents, materialize
 from .op5_token_files import END_ID, vocabulary
-from .tokens import encoder
+from .tokens import TOKEN_BLOCK, encoder, ids_of
 
 CAPACITY = 4096
 #: Pieces that one task packs; an array of so many rows is all that it holds.
@@ -41,10 +41,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
         schema = arrow_schema(PIECES)
         enc = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in blocks([batch], most=TOKEN_BLOCK):
                 rows = []
-                for doc, tokens in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+                for doc, tokens in zip(part.column(0).to_pylist(), ids_of(enc, part.column(1)), strict=True):
                     ids = np.append(tokens, END_ID).astype("<u4")
                     for piece, at in enumerate(range(0, len(ids), capacity)):
                         own = ids[at : at + capacity]

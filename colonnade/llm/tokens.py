@@ -1,66 +1,118 @@
-"""Exact token ids of whole texts by the ``tokenizers`` library, with a bounded cache of words.
+"""Exact token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once.
 
-The vocabulary's normaliser maps white space to one blank and its splitter never joins across
-white space, so a text's ids are its blank-separated words' ids in order. Words are encoded by the
-library once and kept; a word of ASCII letters with trailing punctuation is the letters' ids and
-the punctuation's, because the splitter always cuts between the two.
+The vocabulary's normaliser composes characters, turns white space to a blank and lowers case; its
+splitter drops blanks and always cuts between a letter and a mark. So a text's ids are those of its
+parts in order, if texts are cut at ASCII white space and between a Latin-1 letter and an ASCII mark,
+and lowering ASCII and Latin-1 capitals beforehand changes nothing. Parts are found, hashed and
+numbered by numpy over blocks of texts; the library sees each new part once, and its ids stay in a
+bounded cache of the Python worker under the part's 64-bit hash. Texts with ``<|``, which may hold a
+special token, go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Words, and their lower-case parts, kept per Python worker; at its bound a cache starts anew.
-CACHE_WORDS = 400_000
-CACHE_PARTS = 800_000
-_WORD = re.compile(r"([A-Za-z]+)([!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)\Z")
+from .common import byte_codes, prefix_hash, span_hash, text_bytes
+
+#: Parts kept per Python worker; at the bound the cache starts anew.
+CACHE_PARTS = 1_200_000
+#: Bytes of text that are encoded together.
+TOKEN_BLOCK = 4 << 20
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \n\t\r")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes with ASCII and Latin-1 capitals lowered, whether each byte ends a letter of those)."""
+    out = _LOWER[data]
+    letter = _LETTER[out]
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    at = np.flatnonzero(second)
+    b = out[at]
+    out[at[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]] += 32
+    letter[at] = (b >= 0x80) & (b != 0x97) & (b != 0xB7)
+    return out, letter
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS):
+    def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.most_parts = cache_words, cache_parts
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _library(self, words: list[str], into: dict[str, bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            into[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.parts) > self.most_parts:
-            self.parts = {"": b""}
-        known, parts, split, new, rest = self.known, self.parts, [], set(), []
-        for w in words:
-            if m := _WORD.match(w):
-                a, b = m[1].lower(), m[2]
-                split.append((w, a, b))
-                if a not in parts:
-                    new.add(a)
-                if b not in parts:
-                    new.add(b)
-            else:
-                rest.append(w)
-        self._library(list(new), parts)
-        for w, a, b in split:
-            known[w] = parts[a] + parts[b]
-        self._library(rest, known)
+        self.most = cache_parts
+        self.known: dict[int, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text as uint32; a null text is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another as uint32, offsets); a null text is empty."""
+        raw, offsets = text_bytes(texts)
+        data, letter = lowered(raw)
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        solid = ~_BLANK[data]
+        cut = edge.copy()
+        cut[1:n] |= letter[:-1] & _MARK[data[1:]]
+        left = np.concatenate([[False], solid[:-1]])[:n]
+        right = np.concatenate([solid[1:], [False]])[:n]
+        start = np.flatnonzero(solid & (~left | cut[:-1]))
+        end = np.flatnonzero(solid & (~right | cut[1:])) + 1
+        hashes = span_hash(prefix_hash(byte_codes(data)), start, end)
+        numbered = pa.array(hashes).dictionary_encode()
+        at = numbered.indices.to_numpy()
+        keys = numbered.dictionary.to_numpy()
         known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = {w for words in split for w in words}
-            self._learn(missing)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
+        if len(known) + len(keys) > self.most:
+            known.clear()
+        listed = keys.tolist()
+        new = [i for i, k in enumerate(listed) if k not in known]
+        if new:
+            place = np.empty(len(keys), np.int64)
+            place[at[::-1]] = np.arange(len(at))[::-1]  # where each distinct part stands first
+            content = data.tobytes()
+            parts = [content[a:b].decode("utf-8", "replace") for a, b in zip(start[place[new]].tolist(), end[place[new]].tolist(), strict=True)]
+            for i, ids in zip(new, self._library(parts), strict=True):
+                known[listed[i]] = ids
+        found = list(map(known.__getitem__, listed))
+        table = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        ids = table[np.repeat(first[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+        bounds = ends[np.searchsorted(start, offsets)]
+        special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)) if n else np.zeros(0, np.int64)
+        if len(special):
+            return self._whole(ids, bounds, raw, offsets, np.unique(np.searchsorted(offsets, special, side="right") - 1))
+        return ids, bounds
+
+    def _whole(self, ids: np.ndarray, bounds: np.ndarray, raw: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the texts of ``which`` encoded by the library as they are."""
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in which]
+        for i, own in zip(which.tolist(), self._library(texts), strict=True):
+            out[i] = np.frombuffer(own, np.uint32)
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(o) for o in out])])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        return ids_of(self, pa.array(texts, pa.large_string()))
+
+
+def ids_of(enc: WordEncoder, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of each text of an Arrow column."""
+    ids, ends = enc.encode_block(texts)
+    return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
