@@ -3,11 +3,12 @@
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of an
 8-bit grey image 64 wide (binary PGM): that file is the document's medium. A rolling gear hash over
 32 bytes cuts media into chunks; the media table holds each medium's ordered chunk list. Joins on
-the chunks' SHA-256 leave one owner per distinct chunk, and only owners store bytes. Reading joins
+the chunks' SHA-256 leave one owner per distinct chunk, and only owners store bytes, in packs of about
+1 MB that are compressed as a whole; chunks that others borrow lie beside their pack. Reading joins
 borrowed chunks back in by digest, puts the ordered list together and verifies the medium's SHA-256.
 
 Bytes move little: digests decide ownership, texts are shuffled once, compressed and without
-copies, and chunks nobody borrows are read where they lie. Media are keyed by the text's SHA-256, so
+copies, and media that borrow nothing are read where they lie. Media are keyed by the text's SHA-256, so
 copies of a text are stored once, and a hot copy only repeats its small row.
 
 Defined cases: a null text is empty, and an empty payload is 64 zero bytes; repeated rows and
@@ -16,6 +17,7 @@ doc_ids each get their row; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -33,11 +35,14 @@ SAMPLES = 64
 LEAST, MEAN, MOST = 512, 1024, 8192
 GEAR_WINDOW = 32
 GEAR = np.random.default_rng(64).integers(0, 2**32, 256, dtype=np.uint32)
-LEVEL = 9
+#: Bytes of chunks in a pack.
+PACK_BYTES = 1 << 20
 
 LISTS = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha", pa.binary()), ("sizes", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary()))])
 LISTS_DDL = "key binary, doc_id long, n_bytes long, media_sha binary, sizes array<int>, digests array<binary>"
-STORE_DDL = "key binary, media_sha binary, sizes array<int>, digests array<binary>, kept_at array<int>, kept binary, lent_at array<int>, lent array<binary>, borrows boolean"
+_MEDIUM = "array<struct<key:binary,media_sha:binary,sizes:array<int>,digests:array<binary>,kept_at:array<int>,lent_at:array<int>>>"
+STORE_DDL = f"borrows boolean, kept binary, media {_MEDIUM}, lent_digests array<binary>, lent array<binary>"
+PART_DDL = "key binary, media_sha binary, sizes array<int>, digests array<binary>, have array<int>, own binary"
 FEATURES_DDL = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -110,53 +115,110 @@ def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=LEVEL)
     for batch in blocks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(r) for r in _raw_texts(batch, 1)], pa.binary())], names=["key", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bz2.compress(r) for r in _raw_texts(batch, 1)], pa.binary())], names=["key", "packed"])
+
+
+_MEDIUM_ARROW = pa.struct([("key", pa.binary()), ("media_sha", pa.binary()), ("sizes", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())), ("kept_at", pa.list_(pa.int32())), ("lent_at", pa.list_(pa.int32()))])
+
+
+class _Pack:
+    """An open pack: chunks of media that borrow, or of media that do not."""
+
+    def __init__(self, borrows: bool):
+        self.borrows = borrows
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept, self.size, self.media, self.digests, self.lent = [], 0, [], [], []
+
+    def close(self) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=9)
+        columns = [pa.array([self.borrows]), pa.array([bz2.compress(b"".join(self.kept))], pa.binary()), pa.array([self.media], pa.list_(_MEDIUM_ARROW)), pa.array([self.digests], pa.list_(pa.binary())), pa.array([[z.compress(c) for c in self.lent]], pa.list_(pa.binary()))]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["borrows", "kept", "media", "lent_digests", "lent"])
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z, un = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
-    names = ["key", "media_sha", "sizes", "digests", "kept_at", "kept", "lent_at", "lent", "borrows"]
+    packs = {b: _Pack(b) for b in (False, True)}
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
-            rows: list[tuple] = []
             for key, sha, sizes, digests, packed, own in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                media = to_media(payload(un.decompress(packed)))
+                media = to_media(payload(bz2.decompress(packed)))
                 ends = np.cumsum(sizes).tolist()
-                piece = lambda p: media[ends[p] - sizes[p] : ends[p]]  # noqa: B023, E731
-                own = sorted((o["pos"], o["shared"]) for o in own or [])
-                kept_at = [p for p, shared in own if not shared]
-                lent_at = [p for p, shared in own if shared]
-                rows.append((key, sha, sizes, digests, kept_at, z.compress(b"".join(map(piece, kept_at))), lent_at, [z.compress(piece(p)) for p in lent_at], len(own) < len(sizes)))
-            kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                chunks = [media[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+                owned = sorted((o["pos"], o["shared"]) for o in own or [])
+                pack = packs[len(owned) < len(sizes)]
+                kept_at, lent_at = [p for p, shared in owned if not shared], [p for p, shared in owned if shared]
+                pack.media.append({"key": key, "media_sha": sha, "sizes": sizes, "digests": digests, "kept_at": kept_at, "lent_at": lent_at})
+                pack.kept += [chunks[p] for p in kept_at]
+                pack.lent += [chunks[p] for p in lent_at]
+                pack.digests += [digests[p] for p in lent_at]
+                pack.size += sum(sizes)
+                if pack.size >= PACK_BYTES:
+                    yield pack.close()
+    for pack in packs.values():
+        if pack.media:
+            yield pack.close()
+
+
+def _open(batch: pa.RecordBatch) -> Iterator[tuple[dict, dict[int, bytes]]]:
+    """(medium, its own chunks by place) for each medium of packs (kept, media, lent)."""
+    un = zstandard.ZstdDecompressor()
+    for kept, media, lent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        whole, at, loans = bz2.decompress(kept), 0, iter(lent)
+        for m in media:
+            chunks = {}
+            for p in m["kept_at"]:
+                chunks[p] = whole[at : at + m["sizes"][p]]
+                at += m["sizes"][p]
+            for p in m["lent_at"]:
+                chunks[p] = un.decompress(next(loans))
+            yield m, chunks
+
+
+def _feature_row(key: bytes, sha: bytes, chunks: list[bytes]) -> tuple:
+    media = b"".join(chunks)
+    if hashlib.sha256(media).digest() != sha:
+        raise ValueError("a medium differs from its digest")
+    samples = from_media(media)
+    levels = np.bincount(np.frombuffer(samples, np.uint8) >> 4, minlength=16)
+    return key, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-SAMPLES:]), len(media), sha.hex(), ",".join(map(str, levels.tolist()))
+
+
+def _feature_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _feature_batch([_feature_row(m["key"], m["media_sha"], [chunks[p] for p in range(len(m["sizes"]))]) for m, chunks in _open(batch.slice(i, 1))])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows = [(m["key"], m["media_sha"], m["sizes"], m["digests"], sorted(chunks), bz2.compress(b"".join(chunks[p] for p in sorted(chunks)))) for m, chunks in _open(batch.slice(i, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "media_sha", "sizes", "digests", "have", "own"])
+
+
+def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     un = zstandard.ZstdDecompressor()
-    names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             rows = []
-            for key, sha, sizes, kept_at, kept, lent_at, lent, borrowed in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                pieces: list[bytes | None] = [None] * len(sizes)
-                whole, at = un.decompress(kept), 0
-                for p in kept_at:
-                    pieces[p] = whole[at : at + sizes[p]]
+            for key, sha, sizes, have, own, borrowed in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                chunks = {b["pos"]: un.decompress(b["chunk"]) for b in borrowed}
+                whole, at = bz2.decompress(own), 0
+                for p in have:
+                    chunks[p] = whole[at : at + sizes[p]]
                     at += sizes[p]
-                for p, chunk in zip(lent_at, lent, strict=True):
-                    pieces[p] = un.decompress(chunk)
-                for b in borrowed or []:
-                    pieces[b["pos"]] = un.decompress(b["chunk"])
-                media = b"".join(pieces)
-                if hashlib.sha256(media).digest() != sha:
-                    raise ValueError("a medium differs from its digest")
-                samples = from_media(media)
-                levels = np.bincount(np.frombuffer(samples, np.uint8) >> 4, minlength=16)
-                rows.append((key, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-SAMPLES:]), len(media), sha.hex(), ",".join(map(str, levels.tolist()))))
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows.append(_feature_row(key, sha, [chunks[p] for p in range(len(sizes))]))
+            yield _feature_batch(rows)
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
@@ -182,14 +244,16 @@ def chunk_store(docs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def read_media(store: DataFrame) -> DataFrame:
     """Per medium, put together from chunks and verified: its features."""
-    columns = ["key", "media_sha", "sizes", "kept_at", "kept", "lent_at", "lent"]
-    whole = store.where(~F.col("borrows")).select(*columns, F.lit(None).cast("array<struct<pos:int,chunk:binary>>").alias("borrowed"))
-    part = store.where("borrows")
+    packs = store.select("kept", "media", "lent", "borrows")
+    whole = packs.where("not borrows").drop("borrows").mapInArrow(_read_whole, FEATURES_DDL)
+    part = packs.where("borrows").drop("borrows").mapInArrow(_read_part, PART_DDL)
+    borrowers = store.where("borrows").select(F.explode("media").alias("m")).select("m.key", "m.digests", "m.sizes", F.array_union("m.kept_at", "m.lent_at").alias("have"))
     places = F.sequence(F.lit(0), F.size("sizes") - 1)
-    wanted = part.select("key", F.explode(F.array_except(F.array_except(places, "kept_at"), "lent_at")).alias("pos"), "digests").select("key", "pos", F.get("digests", F.col("pos")).alias("digest"))
-    lenders = store.where(F.size("lent_at") > 0).select(F.explode(F.arrays_zip("lent_at", "lent")).alias("l"), "digests").select(F.get("digests", F.col("l.lent_at")).alias("digest"), F.col("l.lent").alias("chunk"))
+    wanted = borrowers.select("key", "digests", F.explode(F.array_except(places, "have")).alias("pos")).select("key", "pos", F.get("digests", F.col("pos")).alias("digest"))
+    lenders = store.select(F.explode(F.arrays_zip("lent_digests", "lent")).alias("l")).select(F.col("l.lent_digests").alias("digest"), F.col("l.lent").alias("chunk"))
     borrowed = wanted.join(lenders, "digest").groupBy("key").agg(F.collect_list(F.struct("pos", "chunk")).alias("borrowed"))  # at most one medium's chunks
-    return whole.unionByName(part.select(*columns).join(borrowed, "key")).mapInArrow(_features, FEATURES_DDL)
+    rest = part.join(borrowed, "key").select("key", "media_sha", "sizes", "have", "own", "borrowed").mapInArrow(_complete, FEATURES_DDL)
+    return whole.unionByName(rest)
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

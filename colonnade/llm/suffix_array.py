@@ -28,7 +28,10 @@ class SuffixArray:
         for i in range(8):
             inside = places + i < self.stop
             word = (word << np.uint64(8)) | np.where(inside, self.text[np.minimum(places + i, n - 1)], 0).astype(np.uint64)
-        self.ranks = [self._dense(word)]
+        first = self._dense(word)
+        if (self.text == 0).any():  # tell a zero byte from the string's end
+            first = self._dense(first.astype(np.uint64) * np.uint64(9) + np.minimum(self.stop - places, 8).astype(np.uint64))
+        self.ranks = [first]
         for length in _LEVELS[:-1]:
             low = self.ranks[-1]
             at = np.minimum(places + length, n - 1)
