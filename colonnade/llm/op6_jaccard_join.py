@@ -39,7 +39,7 @@ from .shingles import shingle_sets
 #: Shingles in more classes than this are of the frequent kind.
 FREQUENT = 24
 #: Shingles that a map task gathers before it deals them out.
-DEAL_SHINGLES = 2_000_000
+DEAL_SHINGLES = 1_000_000
 PERCENT = 80
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -180,7 +180,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows (list_a, list_b, sid, n, at, rare): a rare shingle and 0, or two consecutive frequent ones; rare counts the set's rare ones."""
-    for batch in batches:
+    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for sid, tokens, often in zip(*(batch.column(i) for i in range(3)), strict=True):
             t = np.array(tokens.values, np.int64)
