@@ -3,7 +3,7 @@
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of an
 8-bit grey image 64 wide (binary PGM): that file is the document's medium. A rolling gear hash over
 32 bytes cuts media into chunks; the media table holds each medium's ordered chunk list. Joins on
-the chunks' SHA-256 leave one owner per distinct chunk, and only owners store bytes, in packs of about
+the chunks' digests (128 bits of SHA-256) leave one owner per distinct chunk, and only owners store bytes, in packs of about
 1 MB that are compressed as a whole; chunks that others borrow lie beside their pack. Reading joins
 borrowed chunks back in by digest, puts the ordered list together and verifies the medium's SHA-256.
 
@@ -36,7 +36,9 @@ LEAST, MEAN, MOST = 512, 1024, 8192
 GEAR_WINDOW = 32
 GEAR = np.random.default_rng(64).integers(0, 2**32, 256, dtype=np.uint32)
 #: Bytes of chunks in a pack.
-PACK_BYTES = 1 << 20
+PACK_BYTES = 880_000
+#: Bytes of SHA-256 that name a chunk, and a text.
+DIGEST_BYTES = 16
 
 LISTS = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha", pa.binary()), ("sizes", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary()))])
 LISTS_DDL = "key binary, doc_id long, n_bytes long, media_sha binary, sizes array<int>, digests array<binary>"
@@ -109,7 +111,7 @@ def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = []
         for m, own in zip(media, sizes, strict=True):
             ends = np.cumsum(own).tolist()
-            digests.append([hashlib.sha256(m[e - s : e]).digest() for e, s in zip(ends, own, strict=True)])
+            digests.append([hashlib.sha256(m[e - s : e]).digest()[:DIGEST_BYTES] for e, s in zip(ends, own, strict=True)])
         columns = [batch.column(0), batch.column(1), pa.array([len(r) for r in raw]), pa.array([hashlib.sha256(m).digest() for m in media]), sizes, digests]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, LISTS, strict=True)], schema=LISTS)
 
@@ -148,9 +150,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = np.cumsum(sizes).tolist()
                 chunks = [media[e - n : e] for e, n in zip(ends, sizes, strict=True)]
                 owned = sorted((o["pos"], o["shared"]) for o in own or [])
-                pack = packs[len(owned) < len(sizes)]
+                borrows = len(owned) < len(sizes)
+                pack = packs[borrows]
                 kept_at, lent_at = [p for p, shared in owned if not shared], [p for p, shared in owned if shared]
-                pack.media.append({"key": key, "media_sha": sha, "sizes": sizes, "digests": digests, "kept_at": kept_at, "lent_at": lent_at})
+                pack.media.append({"key": key, "media_sha": sha, "sizes": sizes, "digests": digests if borrows else [], "kept_at": kept_at, "lent_at": lent_at})
                 pack.kept += [chunks[p] for p in kept_at]
                 pack.lent += [chunks[p] for p in lent_at]
                 pack.digests += [digests[p] for p in lent_at]
@@ -228,7 +231,7 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
 
 def _key():
-    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("key")
+    return F.unhex(F.left(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.lit(2 * DIGEST_BYTES))).alias("key")
 
 
 def chunk_store(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -237,6 +240,8 @@ def chunk_store(docs: DataFrame, lists: DataFrame) -> DataFrame:
     chunks = media.select("key", F.posexplode("digests").alias("pos", "digest"))
     owners = chunks.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("o"), F.count("*").alias("refs"))
     owned = owners.groupBy(F.col("o.key").alias("key")).agg(F.collect_list(F.struct(F.col("o.pos").alias("pos"), (F.col("refs") > 1).alias("shared"))).alias("own"))  # at most one medium's chunks
+    owned = materialize(owned, "owned-chunks")
+    release(docs.sparkSession)
     packed = docs.select(_key(), "text").mapInArrow(_compress, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
     joined = packed.join(media, "key").join(owned, "key", "left")
     return materialize(joined.select("key", "media_sha", "sizes", "digests", "packed", "own").mapInArrow(_store, STORE_DDL), "chunk-store")
