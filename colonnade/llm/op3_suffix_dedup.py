@@ -195,9 +195,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     classes = materialize(classes, "contexts")
     release(spark)
     again = rows.where("kind = 0").join(classes.where("members > 1").select(*by_context), by_context, "left_semi")
-    settled = rows.where("kind = 2").unionByName(again).select("tid", F.col("first").alias("from_"), (F.col("last") + LENGTH).alias("to_"))
+    settled = materialize(rows.where("kind = 2").unionByName(again).select("tid", F.col("first").alias("from_"), (F.col("last") + LENGTH).alias("to_")), "settled")
+    release(spark)
+    discard(rows)
     several = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("members").alias("least")).where("kinds > 1 and least = 1").select("gram", (F.col("kinds") > HOT).alias("hot"))
     wanted = classes.join(several, "gram").groupBy("tid").agg(F.collect_list(F.struct("gram", "first", "last", (F.col("members") == 1).alias("alone"), "hot")).alias("anchors"))  # at most one text's anchors
+    wanted = materialize(wanted, "wanted")
+    release(spark)
+    discard(classes)
     gathered = materialize(texts.join(wanted, "tid").select("tid", "text", "anchors").mapInArrow(_gather, "gram long, tid long, first int, alone boolean, context binary, digest long, many int"), "gathered")
     release(spark)
     in_arrays = gathered.where("context is not null").select("gram", "tid", "first", "alone", "context").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_repeats, "tid long, from_ int, to_ int")
@@ -207,7 +212,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     counted = strings.join(repeated, by_digest, "left_semi").select("tid", F.col("first").alias("from_"), (F.col("first") + LENGTH).alias("to_"))
     spans = materialize(settled.unionByName(in_arrays).unionByName(counted), "spans")
     release(spark)
-    for table in (rows, classes, gathered):
+    for table in (settled, wanted, gathered):
         discard(table)
     return spans
 
