@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds the memory of a Python worker.
 BLOCK_BYTES = 1 << 20
+_own_dir: list[str] = []  # used only where the session names no shared folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="colonnade-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="colonnade-"))
+        base = _own_dir[0]
     return f"{base.rstrip('/')}/colonnade/{name}-{uuid.uuid4().hex}"
 
 
@@ -74,10 +76,9 @@ def range_bucket(column: str, bounds: list) -> Column:
     def bucket(s):
         import pandas as pd
 
-        v = s.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy()
-        return pd.Series(np.searchsorted(cuts, v, side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(cuts, s.to_numpy(), side="right").astype(np.int32))
 
-    return bucket(F.col(column).cast("long"))
+    return bucket(F.coalesce(F.col(column).cast("long"), F.lit(np.iinfo(np.int64).min)))
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
