@@ -231,7 +231,7 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * partitions(spark)
     dealt = docs.select("text").mapInArrow(_dealer(parts), "part int, tokens binary, at binary, sids binary, sizes binary, given binary")
-    counted = dealt.repartition(partitions(spark), "part").mapInArrow(lambda batches: _count(batches, parts), "home int, sids binary, sizes binary, shared binary")
+    counted = dealt.repartition(2 * partitions(spark), "part").mapInArrow(lambda batches: _count(batches, parts), "home int, sids binary, sizes binary, shared binary")
     live = materialize(counted.repartition(partitions(spark), "home").mapInArrow(_live, "sid long"), "live-classes")
     release(spark)
     keys = rows.join(live, "sid", "left_semi").groupBy("sid").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()

@@ -36,7 +36,7 @@ from .common import arrow_schema, blocks, documents
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Segments kept per Python worker; at the bound the cache starts anew.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, decoded_sha256 string, round_trip boolean"
 
 

@@ -18,9 +18,9 @@ from tokenizers import Tokenizer
 from .common import byte_codes, prefix_hash, span_hash, text_bytes
 
 #: Parts kept per Python worker; at the bound the cache starts anew.
-CACHE_PARTS = 1_200_000
+CACHE_PARTS = 500_000
 #: Bytes of text that are encoded together.
-TOKEN_BLOCK = 4 << 20
+TOKEN_BLOCK = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \n\t\r")] = True
