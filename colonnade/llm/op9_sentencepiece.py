@@ -36,7 +36,7 @@ from .common import arrow_schema, blocks, documents
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Segments kept per Python worker; at the bound the cache starts anew.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 600_000
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, decoded_sha256 string, round_trip boolean"
 
 
@@ -46,7 +46,12 @@ class Vocabulary:
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        self.trie: dict = {}  # by code points; "" holds a piece's id and score
+        for p, found in pieces.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = found
         self.text_of = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.cuts_at_blank = not any(BLANK in p.lstrip(BLANK) for p in pieces)
         self.cuts_at_line_end = not any("\n" in p for p in pieces)
@@ -78,26 +83,25 @@ class StreamingViterbi:
     def _reach(self, end: bool) -> None:
         """Try all pieces from each place whose longest piece lies within the text."""
         v, text, best, back = self.v, self.text, self.best, self.back
-        pieces, prefixes = v.pieces, v.prefixes
+        trie, longest, unknown = v.trie, v.longest, v.unknown
         n = len(text)
         while len(best) <= n:
             best.append(float("-inf"))
             back.append((0, -1))
-        last = n if end else n - v.longest + 1
+        last = n if end else n - longest + 1
         for i in range(self.read, max(last, self.read)):
-            score = best[i]
-            single = False
-            for j in range(i + 1, min(i + v.longest, n) + 1):
-                part = text[i:j]
-                if part not in prefixes:
+            score, node, single = best[i], trie, False
+            for j in range(i, min(i + longest, n)):
+                node = node.get(text[j])
+                if node is None:
                     break
-                found = pieces.get(part)
+                found = node.get("")
                 if found is not None:
-                    single |= j == i + 1
-                    if score + found[1] > best[j]:
-                        best[j], back[j] = score + found[1], (i, found[0])
-            if not single and score + v.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = score + v.unknown, (i, -1)
+                    single |= j == i
+                    if score + found[1] > best[j + 1]:
+                        best[j + 1], back[j + 1] = score + found[1], (i, found[0])
+            if not single and score + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = score + unknown, (i, -1)
         self.read = max(last, self.read)
 
     def _commit(self, places: Iterable[int]) -> list[int]:
@@ -145,8 +149,11 @@ class Encoder:
 
     def _search(self, segment: str) -> bytes:
         search, ids = StreamingViterbi(self.v), []
-        for lo in range(0, len(segment), 256):
-            ids += search.feed(segment[lo : lo + 256])
+        if len(segment) <= 64:  # needs no commit before its end
+            search.text = segment
+        else:
+            for lo in range(0, len(segment), 256):
+                ids += search.feed(segment[lo : lo + 256])
         return np.array(ids + search.finish(), np.uint32).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
