@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_LEVELS = (8, 16, 32, 64, 128, 256, 512)
+_LEVELS = (8, 16, 32, 64, 128, 256, 512, 1024)
 
 
 class SuffixArray:
@@ -12,7 +12,8 @@ class SuffixArray:
 
     ``order`` lists the starts in lexicographic order, equal suffixes by place; ``lcp[i]`` is the length
     of the common prefix of the i-th and the one before it (``lcp[0]`` is 0). Ranks of prefixes of
-    8, 16, ... 512 bytes come from doubling; strings may be at most 1,000 bytes long.
+    8, 16, ... 1,024 bytes come from doubling, so whole suffixes are ordered: strings may be at most
+    1,000 bytes long.
     """
 
     def __init__(self, strings: list[bytes], starts: np.ndarray):

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import duckdb
@@ -89,6 +90,18 @@ def test_suffix_array_and_maximal_repeats():
         assert all(len(g) in {len(w) for w in found} for g in wanted)
 
 
+def test_repeats_that_differ_near_the_end_of_contexts():
+    base = random.Random(5).randbytes(544)
+    changed = lambda at: base[:at] + bytes([base[at] ^ 1]) + base[at + 1 :]
+    for contexts in itertools.permutations([changed(540), changed(530), base]):
+        array, found, begin = suffix.repeats_of(list(contexts))
+        covered = np.zeros(len(array.text), bool)
+        for length, places in found:
+            for p in places:
+                covered[p : p + length] = True
+        assert [int(covered[a:b].sum()) for a, b in itertools.pairwise(begin)] == [530 if c == changed(530) else 540 for c in contexts]
+
+
 def near_texts(odd_texts):
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7)))
