@@ -221,9 +221,13 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link(n1, at1, n2, at2):
-    """Size and position filters: sets of n1 and n2 with a common shingle at these places of their orders."""
+    """Size and position filters: sets of n1 and n2 in one list, with its shingle, or its pair's first one, at these places of their orders.
+
+    A set's first common shingle is looked up singly, so none lies before it; before a pair as many may as both sets have places there.
+    """
     need = F.ceil((n1 + n2) * PERCENT / (100 + PERCENT))
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (F.least(n1 - at1, n2 - at2) >= need)
+    before = F.when(F.col("list_b") == 0, F.lit(0)).otherwise(F.least(at1, at2))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (before + F.least(n1 - at1, n2 - at2) >= need)
 
 
 def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -143,6 +143,23 @@ def test_jaccard_join(make_docs, odd_texts, monkeypatch, frequent, spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
 
 
+def test_jaccard_join_of_frequent_shingles_at_the_bound(make_docs, monkeypatch, spark):
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    rnd = random.Random(7)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=9)) for _ in range(n))
+    passages = [words(40) for _ in range(10)]
+    texts = []
+    for _ in range(40):  # 8 common shingles, all frequent; the first text's own one is rare, the second's frequent
+        common, own = words(12), words(1)
+        texts += [f"{common} {words(1)}", f"{common} {own}"]
+        a = rnd.sample(passages, 6)
+        texts += [f"{common} {own} {x} {y}" for x, y in zip(a[::2], a[1::2], strict=True)]  # link with nothing
+    docs = make_docs(texts)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs).collect()}
+    assert found == brute_components(docs)
+    assert all(found[i + 1] == (9, i) for i in range(0, len(texts), 5))
+
+
 def test_jaccard_join_small_cases(make_docs, spark):
     assert jaccard.link_documents(make_docs([])).count() == 0
     text = "one two three four five six"
