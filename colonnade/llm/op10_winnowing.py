@@ -3,7 +3,9 @@
 Hashes are of code points, 32 bits wide. Any passage of at least ``k + window - 1`` code points
 that two texts share gives both at least one equal (hash, position in the passage). Positions are
 kept by ``winnow``; the fingerprint string lists the chosen hashes in text order, 8 hex digits
-each. A text shorter than ``k`` has one hash, of the whole text; an empty or null text has none.
+each. A text shorter than ``k`` has one hash, of the whole text; an empty or null text has none. With
+``K`` and ``WINDOW`` the passage is of 20 code points: a text of 27 or more whose first three quarters stay
+shares a hash with what it becomes. Shorter ones may share none.
 Likeness is the Jaccard similarity of the hash sets, 1.0 for two empty sets.
 
 ``with_next`` pairs each document with the next in ascending doc_id (nulls first, ties by text
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, documents, mix, partitions, prefix_hash, range_bounds, range_bucket, sliding_min, span_hash
 
-K, WINDOW = 32, 64
+K, WINDOW = 8, 13
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

@@ -207,6 +207,13 @@ def test_winnowing(odd_texts):
         assert set(a.tolist()) & set(b.tolist())
 
 
+def test_short_texts_stay_like_their_edits(make_docs, spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("abcdefgh ", k=n)) for n in range(27, 130)]
+    found = win.fingerprint_documents(make_docs(texts)).collect()
+    assert len(found) == len(texts) and all(r.near_edited > 0 for r in found)
+
+
 def test_fingerprints_of_documents(make_docs, odd_texts, spark):
     ids = [5 * i for i in range(len(odd_texts))]
     found = {r.doc_id: r for r in win.fingerprint_documents(make_docs(odd_texts, ids)).collect()}
