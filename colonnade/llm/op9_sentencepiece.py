@@ -35,7 +35,7 @@ from .common import arrow_schema, blocks, documents
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Segments kept per Python worker; at the bound the cache starts anew.
+#: Segments kept per Python worker; at the bound the cache starts anew. A text of more has its own, for itself alone.
 CACHE_SEGMENTS = 600_000
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, decoded_sha256 string, round_trip boolean"
 
@@ -161,10 +161,13 @@ class Encoder:
             return np.zeros(0, np.uint32)
         segments = self.split(BLANK + text.replace(" ", BLANK))
         known = self.known
-        for s in {s for s in segments if s not in known}:
-            if len(known) >= self.most:
-                known.clear()
-                return self.encode(text)
+        missing = {s for s in segments if s not in known}
+        if len(known) + len(missing) > self.most:
+            known.clear()
+            missing = set(segments)
+            if len(missing) > self.most:
+                known = {}  # this text's own
+        for s in missing:
             known[s] = self._search(s)
         return np.frombuffer(b"".join(map(known.__getitem__, segments)), np.uint32)
 

@@ -202,6 +202,14 @@ def test_against_the_library_as_unigram(vocabulary):
         assert score(enc.encode(text).tolist()) == max(map(score, unigram.nbest_encode(text, nbest_size=8, out_type=int)))
 
 
+def test_texts_of_more_segments_than_the_cache(vocabulary):
+    texts = [" ".join(f"w{i} the" for i in range(n)) for n in (1, 2, 40, 1, 3)]
+    enc = sp.Encoder(vocabulary, most=4)
+    for t in texts:
+        assert enc.encode(t).tolist() == plain_best(vocabulary, sp.BLANK + t.replace(" ", sp.BLANK))
+        assert len(enc.known) <= 4
+
+
 def test_sentencepiece_documents(make_docs, odd_texts, spark):
     found = sp.check_documents(make_docs(odd_texts), PIECES).collect()
     assert len(found) == len(odd_texts) and all(r.round_trip for r in found)
