@@ -136,6 +136,13 @@ class CellIndex:
         return np.argsort(-(self.centres @ q), kind="stable")[:n].tolist()
 
     def search(self, assigned: DataFrame, vector: Sequence[float], k: int = 5, probes: int | None = None, order: list[str] | None = None, digits: int | None = None) -> DataFrame:
-        """Approximate top-k by cosine: exact scores within the probed cells."""
-        near = assigned.where(F.col("cell").isin(self.probes(vector, probes))).drop("cell")
+        """Approximate top-k by cosine: exact scores within the probed cells, of which more are probed while they hold under k rows."""
+        if len(vector) != self.centres.shape[1]:
+            return top_k(assigned.where("cell = -1").drop("cell"), self.column, vector, k, "cosine", order, digits)
+        cells = self.probes(vector, len(self.centres))
+        n = probes or self.default_probes
+        near = assigned.where(F.col("cell").isin(cells[:n])).drop("cell")
+        while n < len(cells) and near.limit(k).count() < k:
+            n *= 2
+            near = assigned.where(F.col("cell").isin(cells[:n])).drop("cell")
         return top_k(near, self.column, vector, k, "cosine", order, digits)

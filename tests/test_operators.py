@@ -94,6 +94,17 @@ def test_ann_recall(spark, tmp_path):
     assert hits / (10 * len(queries)) >= 0.9
 
 
+def test_index_search_of_other_lengths_and_large_k(spark):
+    rows = [(i, [float(i % 7 - 3), float(i % 5 - 2), 1.0 + i % 3]) for i in range(60)] + [(100 + i, [1.0, float(i)]) for i in range(5)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = vs.CellIndex.fit(df, "v", cells=8)
+    cells = index.assign(df)
+    ids = lambda out: [r.id for r in out.collect()]
+    for vector, k in (([1.0, 2.0], 3), ([1.0, 2.0], 9), ([1.0], 2), ([1.0, 1.0, 1.0], 60), ([1.0, 1.0, 1.0], 70)):
+        assert ids(index.search(cells, vector, k, probes=1, order=["id"])) == ids(vs.top_k(df, "v", vector, k, order=["id"]))
+    assert len(ids(index.search(cells, [1.0, 1.0, 1.0], 30, probes=1, order=["id"]))) == 30
+
+
 def test_constraints_and_mutations(people):
     rules = Constraints("id", ["name"], ["age"], {"active": False})
     base = people.where("id <> 4")
