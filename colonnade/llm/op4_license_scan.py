@@ -55,6 +55,8 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _CODES = np.random.default_rng(44).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+#: Follows a block's shingles, so that windows may reach past its end; never a minimum.
+_AFTER = np.full(WIDTHS[-1] - 1, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,10 +121,8 @@ def candidates(h: np.ndarray, text: np.ndarray, templates: Templates) -> set[tup
     """(place of a window's first shingle, template) for every text window that meets a template's in some band."""
     found: set[tuple[int, int]] = set()
     for band in range(BANDS):
-        minima, have = [mix(h ^ _SEEDS[band * ROWS + r]) for r in range(ROWS)], 1
+        minima, have = [np.append(mix(h ^ _SEEDS[band * ROWS + r]), _AFTER) for r in range(ROWS)], 1
         for width in WIDTHS:
-            if width > len(h):
-                break
             while have < width:
                 step = min(have, width - have)
                 minima = [np.minimum(m[:-step], m[step:]) for m in minima]
@@ -131,8 +131,8 @@ def candidates(h: np.ndarray, text: np.ndarray, templates: Templates) -> set[tup
                 continue
             keys, owner, filter_ = templates.tables[width]
             step = max(1, width // 4)
-            at = np.arange(0, len(minima[0]), step)
-            key = band_keys(h, width, band, [m[::step] for m in minima])
+            at = np.arange(0, len(h), step)
+            key = band_keys(h, width, band, [m[: len(h) : step] for m in minima])
             maybe = np.flatnonzero(filter_[(key & np.uint64(0xFFFF)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
             for i, a, b in zip(at[maybe[hi > lo]].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):

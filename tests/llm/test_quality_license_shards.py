@@ -86,6 +86,19 @@ def test_license_scan(make_docs, odd_texts, spark):
         scan.Templates({"short": "too few"})
 
 
+def test_truncated_template_alone_in_its_block():
+    templates = scan.Templates(scan.TEMPLATES)
+    k = templates.names.index("mpl-2.0-header")
+    words = scan.TEMPLATES["mpl-2.0-header"].split()
+    filler = " ".join(f"filler{i}" for i in range(9))
+    for n in range(len(words) - 8, len(words) + 1):
+        for text in (" ".join(words[:n]), " ".join(words[-n:]), f"{filler} {' '.join(words[:n])}"):
+            data = np.frombuffer(text.encode(), np.uint8)
+            h, *_ = scan.shingles(data, np.array([0, len(data)]))
+            wanted = [held / len(templates.sets[k]) for _, _, held in scan.verify(h, templates.sets[k])]
+            assert [f[4] for f in scan.scan_block(data, np.array([0, len(data)]), templates) if f[1] == k] == wanted, text
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 4097])
 def test_feistel(n):
     cipher = shards.Feistel(n)
