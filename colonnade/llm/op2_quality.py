@@ -190,7 +190,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Trees:
-    """Fit on at most ``max_rows`` labelled documents outside the held-out fold."""
+    """Fit on at most ``max_rows`` labelled documents outside the held-out fold; of rows with one doc_id, the text of the least hash."""
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").cast("int").alias("label"))
@@ -200,10 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             x = statistics(*text_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(list(x), pa.list_(pa.float32()))], names=["label", "label_id", "tie", "x"])
 
     joined = docs.select(F.col("doc_id").alias("label_id"), "text").join(F.broadcast(sample), "label_id")  # max_rows ids at most
-    found = joined.select("label", "text").mapInArrow(rows, "label int, x array<float>").limit(2 * max_rows).toArrow()
+    measured = joined.select("label", "text", F.col("label_id").cast("string").alias("label_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).mapInArrow(rows, "label int, label_id string, tie long, x array<float>")
+    found = measured.groupBy("label_id").agg(F.min(F.struct("tie", "x", "label")).alias("f")).select("f.label", "f.x").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, len(STATISTICS))
     y = found.column("label").to_numpy().astype(np.float64)
     order = np.lexsort([*x.T, y])  # rows arrive in any order

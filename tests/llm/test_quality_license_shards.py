@@ -64,6 +64,20 @@ def test_quality_odd_cases(make_docs, odd_texts, spark):
     assert quality.score_documents(docs.limit(0), none).count() == 0
 
 
+def test_training_on_repeated_doc_ids(make_docs, monkeypatch, spark):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    texts, ids = [f"text {'word ' * i}" for i in range(60)], [[i for i in range(50) if zlib.crc32(str(i).encode()) % 5][k % 3] for k in range(60)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(sorted(set(ids)))], "doc_id long, quality int")
+    docs = make_docs(texts, ids)
+    for order in (F.col("n_chars"), -F.col("n_chars")):
+        quality.train(docs.repartition(3).orderBy(order), labels, 3)
+    least = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("f")).orderBy("doc_id").collect()
+    wanted = stats_of(*(r.f.text for r in least))
+    for x, y in seen:
+        assert sorted(map(tuple, x.tolist())) == sorted(map(tuple, wanted.tolist())) and y.tolist() == [0, 0, 1]
+
+
 def test_license_scan(make_docs, odd_texts, spark):
     filler = " ".join(f"filler{i}" for i in range(80))
     texts = [*odd_texts, *[f"{filler}\n{t}\n{filler}" for t in scan.TEMPLATES.values()], *scan.TEMPLATES.values()]
