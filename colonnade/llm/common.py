@@ -1,10 +1,11 @@
-"""What the operators share: the shared folder, range buckets, text blocks, hashing in numpy."""
+"""What the operators share: the shared folder, Arrow tasks, range buckets, text blocks, hashing in numpy."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds the memory of a Python worker.
 BLOCK_BYTES = 1 << 20
+#: Rows of a batch between Spark and Python, where the session has Spark's own default of 10,000.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []  # used only where the session names no shared folder
 
 
@@ -21,9 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``, else under the context's checkpoint folder.
+
+    Where neither is set, a local run gets a folder of its own, and a cluster an error: its machines share none.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="colonnade-"))
         base = _own_dir[0]
@@ -59,26 +68,91 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> list:
-    """At most n - 1 ascending cut values of a numeric column, from one aggregate; the driver holds n values."""
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as tell it from all columns of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system; workers outlive their tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: a batch of Spark's default 10,000 rows holds tens of MB on both sides. A bound that the session chose itself stays."""
+    if int(spark.conf.get(_BATCH, "10000")) == 10_000:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in small batches; a worker gives its memory back when a task ends."""
+    small_batches(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    """At most n - 1 ascending cut values of a long column, nulls least, from one aggregate; the driver holds n values.
+
+    A value that fills several ranges by itself is listed as often.
+    """
     if n < 2:
         return []
     fractions = [i / n for i in range(1, n)]
-    found = df.select(F.percentile_approx(column, fractions, max(10_000, 20 * n))).first()[0]
-    return sorted(set(found or []))
+    found = df.select(F.percentile_approx(_long(column), fractions, max(10_000, 20 * n))).first()[0]
+    return sorted(found or [])
+
+
+def _long(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
+
+
+def _below(x: Column, bounds: list[int], equal: bool) -> Column:
+    """How many of the ascending bounds are less than x, or equal; a binary search by built-in functions."""
+    listed = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def step(at: Column, by: Column) -> Column:
+        bound = F.get(listed, at + by - 1)
+        return F.when((at + by <= len(bounds)) & ((bound <= x) if equal else (bound < x)), at + by).otherwise(at)
 
+    return F.aggregate(steps, F.lit(0), step)
 
-def range_bucket(column: str, bounds: list) -> Column:
-    """Bucket number of a long column: how many bounds lie at or below it; nulls go to bucket 0."""
-    cuts = np.array(bounds, dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def bucket(s):
-        import pandas as pd
+def range_bucket(column: str, tie: str, bounds: list[int]) -> Column:
+    """Number of the range that holds a row; rows of a value that fills several ranges are split by ``tie``, an evenly spread long."""
+    if not bounds:
+        return F.lit(0)
+    x = _long(column)
+    first, last = _below(x, bounds, False), _below(x, bounds, True)
+    share = F.least(F.col(tie).cast("double") / 2.0**64 + 0.5, F.lit(1 - 2.0**-40))
+    return (first + F.when(last > first, 1 + F.floor(share * (last - first))).otherwise(0)).cast("int")
 
-        return pd.Series(np.searchsorted(cuts, s.to_numpy(), side="right").astype(np.int32))
 
-    return bucket(F.coalesce(F.col(column).cast("long"), F.lit(np.iinfo(np.int64).min)))
+def starts_of(sizes: DataFrame, group: str, size: str) -> DataFrame:
+    """(group, before): for one row a group, the sum of the sizes of all smaller groups; groups are ranges or partitions, so the driver may hold them."""
+    rows, total = [], 0
+    for r in sizes.orderBy(group).collect():  # one row a range
+        rows.append((r[group], total))
+        total += r[size]
+    return sizes.sparkSession.createDataFrame(rows, f"{group} int, before long")
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +201,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 modulo 2**64, and those of its inverse."""
+    """The base's powers 0..n-1 modulo 2**64, and those of its inverse; kept until the task ends."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, starts_of, unused
 
 _IN_PARTITION = (1 << 33) - 1
 
@@ -15,18 +15,16 @@ def number_rows(df: DataFrame, order: list[str], column: str = "row_no") -> tupl
 
     The rows are range-partitioned, sorted and written to the shared folder with their place in
     the partition, so the numbers are fixed once, however often tasks are repeated. The driver
-    holds one count per partition. Rows equal in ``order`` get neighbouring numbers.
+    holds one count per partition. Rows equal in ``order`` get neighbouring numbers. Other columns
+    are carried, whatever their names; one named as ``column`` is replaced.
     """
-    spark = df.sparkSession
-    n = max(partitions(spark), 1)
-    placed = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_place", 33)
-    counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row per partition
-    offsets, total = [], 0
-    for row in counts:
-        offsets.append((row["part"], total))
-        total += row["count"]
-    if not offsets:
-        return placed.withColumn(column, F.lit(0).cast("long")).drop("_place"), 0
-    starts = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
-    return placed.withColumn(column, starts[part] + F.col("_place").bitwiseAND(F.lit(_IN_PARTITION))).drop("_place"), total
+    place, part, before = unused(df, "place", "part", "before")
+    n = max(partitions(df.sparkSession), 1)
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    placed = materialize(placed, "numbered").withColumn(part, F.shiftright(place, 33).cast("int"))
+    sizes = placed.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n"))
+    found = sizes.agg(F.sum("n")).first()[0] or 0
+    starts = F.broadcast(starts_of(sizes, "part", "n").withColumnsRenamed({"part": part, "before": before}))  # one row a partition
+    numbered = placed.join(starts, part).withColumn(column, F.col(before) + F.col(place).bitwiseAND(F.lit(_IN_PARTITION)))
+    kept = [c for c in df.columns if c.lower() != column.lower()]
+    return numbered.select(*[F.col(f"`{c}`") for c in kept], column), found

@@ -9,8 +9,8 @@ shares a hash with what it becomes. Shorter ones may share none.
 Likeness is the Jaccard similarity of the hash sets, 1.0 for two empty sets.
 
 ``with_next`` pairs each document with the next in ascending doc_id (nulls first, ties by text
-hash; the last one's next is the first): documents are dealt to doc_id ranges, and each range gets
-a copy of the following range's first document. A single document's next is itself. An empty
+hash; the last one's next is the first): documents are dealt to doc_id ranges, one a task, and each range gets
+a copy of the following range's first document; a doc_id that fills several ranges is split by text hash. A single document's next is itself. An empty
 table gives an empty result; columns other than doc_id and text are not carried.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, documents, mix, partitions, prefix_hash, range_bounds, range_bucket, sliding_min, span_hash
+from .common import arrow_schema, documents, map_arrow, mix, partitions, prefix_hash, range_bounds, range_bucket, sliding_min, span_hash
 
 K, WINDOW = 8, 13
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -87,16 +87,16 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows with ``last`` true only close a bucket: they repeat the following bucket's first document.
     """
-    spark = docs.sparkSession
+    n = 2 * partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", 2 * partitions(spark))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", range_bucket("doc_id", bounds))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "tie", "text")).alias("head"))  # one row per bucket, of which there are at most 2 x partitions
-    present = sorted(r[0] for r in heads.select("bucket").collect())
-    before = F.create_map(*[F.lit(x) for i, b in enumerate(present) for x in (b, present[i - 1])]) if present else F.create_map(F.lit(0), F.lit(0))
-    tails = heads.select(before[F.col("bucket")].alias("bucket"), F.lit(True).alias("last"), "head.doc_id", "head.tie", "head.text")
+    bounds = range_bounds(rows, "doc_id", n)
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", range_bucket("doc_id", "tie", bounds))
+    heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", "tie", "text")).alias("head"))  # one row a range
+    present = sorted(r[0] for r in rows.select("bucket").distinct().collect())
+    before = docs.sparkSession.createDataFrame([(b, present[i - 1]) for i, b in enumerate(present)], "bucket int, before int")  # one row a range
+    tails = heads.join(F.broadcast(before), "bucket").select(F.col("before").alias("bucket"), F.lit(True).alias("last"), "head.doc_id", "head.tie", "head.text")
     dealt = rows.select("bucket", F.lit(False).alias("last"), "doc_id", "tie", "text").unionByName(tails)
-    return dealt.repartition(2 * partitions(spark), "bucket").sortWithinPartitions("bucket", "last", "doc_id", "tie")
+    return dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "last", "doc_id", "tie")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likenesses; see the module."""
-    return with_next(docs).mapInArrow(_fingerprints, SCHEMA)
+    return map_arrow(with_next(docs), _fingerprints, SCHEMA)
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, materialize, release, text_bytes
+from .common import blocks, documents, map_arrow, materialize, release, text_bytes
 
 SAMPLES = 64
 #: Chunk sizes in bytes: least, mean beyond the least (a power of two), most.
@@ -227,7 +227,7 @@ def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunk_lists(docs: DataFrame) -> DataFrame:
     """The media table: per row of ``docs`` its medium's digest and ordered chunk list, written to the shared folder."""
     rows = docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(_list_chunks, LISTS_DDL), "media-lists")
+    return materialize(map_arrow(rows, _list_chunks, LISTS_DDL), "media-lists")
 
 
 def _key():
@@ -242,22 +242,22 @@ def chunk_store(docs: DataFrame, lists: DataFrame) -> DataFrame:
     owned = owners.groupBy(F.col("o.key").alias("key")).agg(F.collect_list(F.struct(F.col("o.pos").alias("pos"), (F.col("refs") > 1).alias("shared"))).alias("own"))  # at most one medium's chunks
     owned = materialize(owned, "owned-chunks")
     release(docs.sparkSession)
-    packed = docs.select(_key(), "text").mapInArrow(_compress, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
+    packed = map_arrow(docs.select(_key(), "text"), _compress, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
     joined = packed.join(media, "key").join(owned, "key", "left")
-    return materialize(joined.select("key", "media_sha", "sizes", "digests", "packed", "own").mapInArrow(_store, STORE_DDL), "chunk-store")
+    return materialize(map_arrow(joined.select("key", "media_sha", "sizes", "digests", "packed", "own"), _store, STORE_DDL), "chunk-store")
 
 
 def read_media(store: DataFrame) -> DataFrame:
     """Per medium, put together from chunks and verified: its features."""
     packs = store.select("kept", "media", "lent", "borrows")
-    whole = packs.where("not borrows").drop("borrows").mapInArrow(_read_whole, FEATURES_DDL)
-    part = packs.where("borrows").drop("borrows").mapInArrow(_read_part, PART_DDL)
+    whole = map_arrow(packs.where("not borrows").drop("borrows"), _read_whole, FEATURES_DDL)
+    part = map_arrow(packs.where("borrows").drop("borrows"), _read_part, PART_DDL)
     borrowers = store.where("borrows").select(F.explode("media").alias("m")).select("m.key", "m.digests", "m.sizes", F.array_union("m.kept_at", "m.lent_at").alias("have"))
     places = F.sequence(F.lit(0), F.size("sizes") - 1)
     wanted = borrowers.select("key", "digests", F.explode(F.array_except(places, "have")).alias("pos")).select("key", "pos", F.get("digests", F.col("pos")).alias("digest"))
     lenders = store.select(F.explode(F.arrays_zip("lent_digests", "lent")).alias("l")).select(F.col("l.lent_digests").alias("digest"), F.col("l.lent").alias("chunk"))
     borrowed = wanted.join(lenders, "digest").groupBy("key").agg(F.collect_list(F.struct("pos", "chunk")).alias("borrowed"))  # at most one medium's chunks
-    rest = part.join(borrowed, "key").select("key", "media_sha", "sizes", "have", "own", "borrowed").mapInArrow(_complete, FEATURES_DDL)
+    rest = map_arrow(part.join(borrowed, "key").select("key", "media_sha", "sizes", "have", "own", "borrowed"), _complete, FEATURES_DDL)
     return whole.unionByName(rest)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, documents, prefix_hash, span_hash, text_bytes
+from .common import blocks, byte_codes, documents, map_arrow, prefix_hash, span_hash, text_bytes
 
 #: Bound of the sample that the driver fits on.
 MAX_TRAIN_ROWS = 20_000
@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(list(x), pa.list_(pa.float32()))], names=["label", "label_id", "tie", "x"])
 
     joined = docs.select(F.col("doc_id").alias("label_id"), "text").join(F.broadcast(sample), "label_id")  # max_rows ids at most
-    measured = joined.select("label", "text", F.col("label_id").cast("string").alias("label_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).mapInArrow(rows, "label int, label_id string, tie long, x array<float>")
+    joined = joined.select("label", "text", F.col("label_id").cast("string").alias("label_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    measured = map_arrow(joined, rows, "label int, label_id string, tie long, x array<float>")
     found = measured.groupBy("label_id").agg(F.min(F.struct("tie", "x", "label")).alias("f")).select("f.label", "f.x").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, len(STATISTICS))
     y = found.column("label").to_numpy().astype(np.float64)
@@ -224,7 +225,7 @@ def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return kept.mapInArrow(scored, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return map_arrow(kept, scored, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +236,7 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Da
         for batch in blocks(batches):
             yield batch.filter(pa.array(model.score(statistics(*text_bytes(batch.column(at)))) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_arrow(docs, kept, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, mix, prefix_hash, sliding_min, span_hash, text_bytes
+from .common import blocks, documents, map_arrow, mix, prefix_hash, sliding_min, span_hash, text_bytes
 
 WORDS, CONTAINMENT = 5, 0.8
 BANDS, ROWS = 16, 2
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
                 ids = batch.column(0).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([templates.names[i] for i in t]), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(held, pa.float64())], names=["doc_id", "license", "first_byte", "end_byte", "containment"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scanned, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scanned, SCHEMA)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Token-id files: whole texts as ids of a public tokenizer, coded word-aligned by Simple-8b.
 
-Documents are dealt to doc_id ranges; each range is tokenised in ascending doc_id order (nulls
+Documents are dealt to doc_id ranges, one a task; a doc_id that fills several ranges is split by its texts' hashes.
+Each range is tokenised in ascending doc_id order (nulls
 first, ties by text hash) and cut into files of whole documents. The table of files (range, file,
 content) lies in the shared folder as Parquet, because executors share no other store; each
 ``content`` is one complete file in the layout of ``simple8b``. Reading decodes file by file.
 Document starts come from the file heads and from one total per range, the only thing the driver
-holds.
+holds and broadcasts.
 
 Defined cases: a null or empty text has only the end id; repeated rows are written one by one;
 an empty table gives no files and an empty result; extra columns are not carried.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import arrow_schema, blocks, documents, materialize, partitions, range_bounds, range_bucket
+from .common import arrow_schema, blocks, documents, map_arrow, materialize, partitions, range_bounds, range_bucket, starts_of
 from .tokens import TOKEN_BLOCK, encoder, ids_of
 
 END_ID = 1
@@ -72,9 +73,10 @@ def write_files(docs: DataFrame, path: str) -> DataFrame:
         if held_docs:
             yield close()
 
-    rows = docs.select(range_bucket("doc_id", bounds).alias("range_no"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartition(n, "range_no").sortWithinPartitions("range_no", "doc_id", F.xxhash64("text"))
-    return materialize(dealt.mapInArrow(files, FILES), "token-files")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    rows = rows.select(range_bucket("doc_id", "tie", bounds).alias("range_no"), "doc_id", "text", "tie")
+    dealt = rows.repartitionById(n, "range_no").sortWithinPartitions("range_no", "doc_id", "tie").drop("tie")
+    return materialize(map_arrow(dealt, files, FILES), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def read_files(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(READ)
         for batch in batches:
-            for range_no, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for range_no, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # a file at a time
                 docs, ids, first = simple8b.decode_file(content.as_buffer().to_pybytes())
                 sizes = docs["n"].astype(np.int64)
                 ends = np.cumsum(sizes)
@@ -92,13 +94,10 @@ def read_files(files: DataFrame) -> DataFrame:
                 columns = [pa.array(docs["id"], mask=docs["null"].astype(bool)), pa.array(np.full(len(docs), range_no, np.int32)), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    before, total = [], 0
-    for row in files.groupBy("range_no").agg(F.sum("n_ids").alias("n")).orderBy("range_no").collect():  # one row per range
-        before += [F.lit(row["range_no"]), F.lit(total).cast("long")]
-        total += row["n"]
-    found = files.select("range_no", "content").mapInArrow(read, READ)
-    offset = F.create_map(*before)[F.col("range_no")] if before else F.lit(0).cast("long")
-    return found.select("doc_id", (F.col("start") + offset).alias("start"), "n_tokens", "ids_crc32")
+    before = starts_of(files.groupBy("range_no").agg(F.sum("n_ids").alias("n")), "range_no", "n")
+    found = map_arrow(files.select("range_no", "content"), read, READ)
+    placed = found.join(F.broadcast(before), "range_no")  # one row a range
+    return placed.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix
+from .common import documents, mix, unused
 from .numbering import number_rows
 
 SHARDS, SEED, ROUNDS = 16, 20240117, 6
@@ -67,8 +67,9 @@ def row_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int = SHARDS, se
 
 
 def shard_rows(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``df`` with ``row_no``, ``shard`` and ``slot``; ``order`` fixes the row numbers."""
+    """``df`` with ``row_no``, ``shard`` and ``slot``, which replace columns so named; ``order`` fixes the row numbers."""
     numbered, n = number_rows(df, order)
+    [p] = unused(numbered, "p")
     cipher = Feistel(max(n, 1), seed)
 
     @F.pandas_udf("long")
@@ -77,11 +78,11 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int
 
         return pd.Series(cipher.forward(s.to_numpy()))
 
-    return numbered.withColumn("_p", permuted("row_no")).withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn("slot", F.floor(F.col("_p") / shards).cast("long")).drop("_p")
+    return numbered.withColumn(p, permuted("row_no")).withColumn("shard", (F.col(p) % shards).cast("int")).withColumn("slot", F.expr(f"{p} div {shards}")).drop(p)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_tie"))
-    placed = shard_rows(rows, ["doc_id", "_tie"])
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("tie"))
+    placed = shard_rows(rows, ["doc_id", "tie"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
