@@ -1,25 +1,25 @@
-"""Removal of repeated passages: every byte that a 400-byte string starting elsewhere too covers.
+"""Removal of repeated passages: every byte that a string of ``length`` bytes starting elsewhere too covers.
 
-A 400-byte string has one anchor: the least-hashed of its 256-byte substrings, the leftmost on
+Such a string, of 400 bytes unless asked otherwise, has one anchor: the least-hashed of its substrings of ``gram`` bytes (256), the leftmost on
 ties. Equal strings have equal anchors at equal offsets, so the strings under one anchor hash can
-be compared apart from all others. An anchor's neighbouring strings form its context, at most 544 bytes.
+be compared apart from all others. An anchor's neighbouring strings form its context, at most 2 * length - gram bytes (544).
 
 1. Each distinct text is kept once, with its number of copies.
 2. Anchors and their contexts' hashes come from one pass. Contexts that are equal as a whole are
    settled: all their bytes are repeated. Those of one map block are settled there.
 3. For anchor hashes with several different contexts, the contexts' bytes are gathered, whole groups at a time,
-   into enhanced suffix arrays. The common-prefix interval tree gives all maximal repeats of 400 bytes or more
+   into enhanced suffix arrays. The common-prefix interval tree gives all maximal repeats of ``length`` bytes or more
    with all their occurrences.
 4. An anchor hash with over ``HOT`` different contexts, such as a passage in a third of all
-   documents, is not gathered: its 400-byte strings are counted by digest, pre-aggregated by
+   documents, is not gathered: its strings are counted by digest, pre-aggregated by
    map block. This path has no array, because a group of unbounded size has no place in one task.
 5. The marked bytes are removed from each text, and rows get their text's result.
 
 Equality is that of two 64-bit hashes together wherever bytes are not compared.
 
-Defined cases: a null or empty text has nothing to remove; a text of under 400 bytes keeps all;
+Defined cases: a null or empty text has nothing to remove; a text shorter than ``length`` keeps all;
 repeated rows count as occurrences of each other; an empty table gives an empty result. Columns are
-addressed by name, and ``deduplicate`` carries the others.
+addressed by name, and ``deduplicate`` carries the others, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_codes, discard, documents, materialize, partitions, prefix_hash, release, sliding_min, span_hash, text_bytes
+from .common import blocks, byte_codes, discard, documents, map_arrow, materialize, partitions, prefix_hash, release, sliding_min, span_hash, text_bytes, unused
 from .suffix_array import SuffixArray
 
 LENGTH = 400
@@ -40,45 +40,44 @@ GRAM = 256
 HOT = 512
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
-_SPAN = LENGTH - GRAM + 1
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, first start, last start, anchor hash, context hash) of each anchor in a block of texts."""
     sizes = np.diff(offsets)
     prefix = prefix_hash(byte_codes(data))
-    n = len(data) - GRAM + 1
+    n, span = len(data) - gram + 1, length - gram + 1
     none = np.zeros(0, np.int64)
-    if n < _SPAN or sizes.max(initial=0) < LENGTH:
+    if n < span or sizes.max(initial=0) < length:
         return none, none, none, none, none
     at = np.arange(n)
-    hashes = span_hash(prefix, at, at + GRAM)
-    best = sliding_min(((hashes >> np.uint64(32)) << np.uint64(32)) | at.astype(np.uint64), _SPAN) & _LOW
+    hashes = span_hash(prefix, at, at + gram)
+    best = sliding_min(((hashes >> np.uint64(32)) << np.uint64(32)) | at.astype(np.uint64), span) & _LOW
     text = np.repeat(np.arange(len(sizes)), sizes)[: len(best)]
-    starts = np.flatnonzero(np.arange(len(best)) + LENGTH <= offsets[text + 1])
+    starts = np.flatnonzero(np.arange(len(best)) + length <= offsets[text + 1])
     chosen, owner = best[starts].astype(np.int64), text[starts]
     head = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])))
     first, last = starts[head], starts[np.append(head[1:], len(starts)) - 1]
-    return owner[head], first - offsets[owner[head]], last - offsets[owner[head]], hashes[chosen[head]].view(np.int64), span_hash(prefix, first, last + LENGTH).view(np.int64)
+    return owner[head], first - offsets[owner[head]], last - offsets[owner[head]], hashes[chosen[head]].view(np.int64), span_hash(prefix, first, last + length).view(np.int64)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Anchor rows; equal contexts of a block give one row with ``many`` and a settled row each."""
     for batch in blocks(batches):
-        text, first, last, gram, whole = anchors(*text_bytes(batch.column(1)))
+        text, first, last, grams, whole = anchors(*text_bytes(batch.column(1)), length, gram)
         tid = batch.column(0).to_numpy()[text]
-        order = np.lexsort((whole, gram))
-        gram, whole, tid, first, last = gram[order], whole[order], tid[order], first[order], last[order]
-        head = np.append(True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])) if len(gram) else np.zeros(0, bool)
+        order = np.lexsort((whole, grams))
+        grams, whole, tid, first, last = grams[order], whole[order], tid[order], first[order], last[order]
+        head = np.append(True, (grams[1:] != grams[:-1]) | (whole[1:] != whole[:-1])) if len(grams) else np.zeros(0, bool)
         single = head & np.append(head[1:], True)[: len(head)]
         kinds = [np.where(single[head], 0, 1), np.full(int((~single).sum()), 2)]  # 0: alone, 1: stands for several, 2: settled
         pick = np.concatenate([np.flatnonzero(head), np.flatnonzero(~single)])
-        columns = [np.concatenate(kinds).astype(np.int32), gram[pick], whole[pick], tid[pick], first[pick].astype(np.int32), last[pick].astype(np.int32)]
+        columns = [np.concatenate(kinds).astype(np.int32), grams[pick], whole[pick], tid[pick], first[pick].astype(np.int32), last[pick].astype(np.int32)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "gram", "whole", "tid", "first", "last"])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Per text and its anchors: contexts' bytes, or digests of the strings of hot ones (those a block repeats only once)."""
     names = ["gram", "tid", "first", "alone", "context", "digest", "many"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32()]
@@ -91,7 +90,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, first, last, alone, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
         tid = batch.column(0).to_numpy()[owner]
         begin = offsets[owner] + first
-        rows = [(gram[i], tid[i], first[i], bool(alone[i]), raw[begin[i] : offsets[owner[i]] + last[i] + LENGTH], None, None) for i in np.flatnonzero(~hot)]
+        rows = [(gram[i], tid[i], first[i], bool(alone[i]), raw[begin[i] : offsets[owner[i]] + last[i] + length], None, None) for i in np.flatnonzero(~hot)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         if hot.any():
@@ -99,7 +98,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = np.repeat(np.arange(len(gram)), count)
             step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
             start = begin[which] + step
-            digest = span_hash(prefix_hash(byte_codes(data)), start, start + LENGTH).view(np.int64)
+            digest = span_hash(prefix_hash(byte_codes(data)), start, start + length).view(np.int64)
             order = np.lexsort((digest, gram[which]))
             which, step, digest = which[order], step[order], digest[order]
             g = gram[which]
@@ -120,15 +119,15 @@ def repeats_of(contexts: list[bytes], length: int = LENGTH) -> tuple[SuffixArray
     return array, array.maximal_repeats(length, left_open), begin
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Marks from suffix arrays over whole groups; rows come sorted by anchor hash."""
 
     def solve(rows: list) -> pa.RecordBatch:
-        array, found, begin = repeats_of([r[3] for r in rows])
+        array, found, begin = repeats_of([r[3] for r in rows], length)
         delta = np.zeros(len(array.text) + 1, np.int64)
-        for length, places in found:
+        for common, places in found:
             np.add.at(delta, places, 1)
-            np.add.at(delta, places + length, -1)
+            np.add.at(delta, places + common, -1)
         cover = np.cumsum(delta)[:-1] > 0
         edge = np.zeros(len(cover) + 1, bool)
         edge[begin] = True
@@ -160,13 +159,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             rows = []
             for key, copies, text, marks in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                if copies > 1 and len(raw) >= LENGTH:
+                if copies > 1 and len(raw) >= length:
                     rows.append((key, b"", len(raw), 1))
                     continue
                 kept, at, spans, end = [], 0, 0, -1
@@ -185,17 +184,18 @@ def _key():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(tid, from_, to_): spans of bytes, which may overlap, that make up all repeated bytes of distinct texts (tid, text)."""
     spark = texts.sparkSession
     n = partitions(spark)
-    rows = materialize(texts.where(F.octet_length("text") >= LENGTH).select("tid", "text").mapInArrow(_find, "kind int, gram long, whole long, tid long, first int, last int"), "anchors")
+    found = map_arrow(texts.where(F.octet_length("text") >= length).select("tid", "text"), lambda b: _find(b, length, gram), "kind int, gram long, whole long, tid long, first int, last int")
+    rows = materialize(found, "anchors")
     by_context = ["gram", "whole"]
     classes = rows.where("kind < 2").groupBy(*by_context).agg(F.sum(F.col("kind") + 1).alias("members"), *(F.first(c).alias(c) for c in ("tid", "first", "last")))
     classes = materialize(classes, "contexts")
     release(spark)
     again = rows.where("kind = 0").join(classes.where("members > 1").select(*by_context), by_context, "left_semi")
-    settled = materialize(rows.where("kind = 2").unionByName(again).select("tid", F.col("first").alias("from_"), (F.col("last") + LENGTH).alias("to_")), "settled")
+    settled = materialize(rows.where("kind = 2").unionByName(again).select("tid", F.col("first").alias("from_"), (F.col("last") + length).alias("to_")), "settled")
     release(spark)
     discard(rows)
     several = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("members").alias("least")).where("kinds > 1 and least = 1").select("gram", (F.col("kinds") > HOT).alias("hot"))
@@ -203,13 +203,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     wanted = materialize(wanted, "wanted")
     release(spark)
     discard(classes)
-    gathered = materialize(texts.join(wanted, "tid").select("tid", "text", "anchors").mapInArrow(_gather, "gram long, tid long, first int, alone boolean, context binary, digest long, many int"), "gathered")
+    listed = map_arrow(texts.join(wanted, "tid").select("tid", "text", "anchors"), lambda b: _gather(b, length), "gram long, tid long, first int, alone boolean, context binary, digest long, many int")
+    gathered = materialize(listed, "gathered")
     release(spark)
-    in_arrays = gathered.where("context is not null").select("gram", "tid", "first", "alone", "context").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_repeats, "tid long, from_ int, to_ int")
+    together = gathered.where("context is not null").select("gram", "tid", "first", "alone", "context").repartition(n, "gram").sortWithinPartitions("gram")
+    in_arrays = map_arrow(together, lambda b: _repeats(b, length), "tid long, from_ int, to_ int")
     strings = gathered.where("digest is not null")
     by_digest = ["gram", "digest"]
     repeated = strings.groupBy(*by_digest).agg(F.sum("many").alias("members")).where("members > 1").select(*by_digest)
-    counted = strings.join(repeated, by_digest, "left_semi").select("tid", F.col("first").alias("from_"), (F.col("first") + LENGTH).alias("to_"))
+    counted = strings.join(repeated, by_digest, "left_semi").select("tid", F.col("first").alias("from_"), (F.col("first") + length).alias("to_"))
     spans = materialize(settled.unionByName(in_arrays).unionByName(counted), "spans")
     release(spark)
     for table in (settled, wanted, gathered):
@@ -217,27 +219,29 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return spans
 
 
-def kept_bytes(docs: DataFrame) -> DataFrame:
+def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per distinct text: key (MD5 of the text), kept (its remaining bytes), n_removed, n_spans."""
     spark = docs.sparkSession
     texts = docs.select(_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = materialize(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     release(spark)
-    spans = repeated_spans(texts)
+    spans = repeated_spans(texts, length, gram)
     marks = spans.groupBy("tid").agg(F.collect_list(F.struct("from_", "to_")).alias("marks"))  # at most one text's spans
-    return texts.join(marks, "tid", "left").select("key", "copies", "text", "marks").mapInArrow(_remove, "key binary, kept binary, n_removed long, n_spans long")
+    marked = texts.join(marks, "tid", "left").select("key", "copies", "text", "marks")
+    return map_arrow(marked, lambda b: _remove(b, length), "key binary, kept binary, n_removed long, n_spans long")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; bytes left of a broken character go too."""
 
     @F.pandas_udf("string")
     def decoded(s):
         return s.map(lambda b: b.decode("utf-8", "ignore"))
 
-    left = kept_bytes(docs).where("n_removed > 0").select(F.col("key").alias("_key"), decoded("kept").alias("_text"))
-    joined = docs.withColumn("_key", _key()).join(left, "_key", "left")
-    return joined.withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)
+    key, kept = unused(docs, "key", "kept")
+    left = kept_bytes(docs, length, gram).where("n_removed > 0").select(F.col("key").alias(key), decoded("kept").alias(kept))
+    joined = docs.withColumn(key, _key()).join(left, key, "left")
+    return joined.select(*[F.coalesce(kept, "text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,10 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from colonnade.llm import op2_quality as quality
 from colonnade.llm import registry
-from colonnade.llm.op3_suffix_dedup import LENGTH
 from colonnade.llm.op5_token_files import vocabulary
 from colonnade.llm.oracle import JACCARD_JOIN
 
-SF = "/root/testdata/sf0.001"
+SF, LENGTH = "/root/testdata/sf0.001", corpus_pipeline.PASSAGE_BYTES
 
 
 @pytest.fixture(scope="module")
