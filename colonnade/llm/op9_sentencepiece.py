@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blocks, documents
+from .common import arrow_schema, blocks, documents, map_arrow
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -129,6 +129,8 @@ class StreamingViterbi:
     def feed(self, part: str) -> list[int]:
         self.text += part
         self.widest = max(self.widest, len(self.text))
+        if len(self.text) < self.v.longest:  # no place's longest piece lies within the text yet
+            return []
         self._reach(False)
         reached = [i for i in range(self.read, min(self.read + self.v.longest, len(self.best))) if self.best[i] != float("-inf")]
         return self._commit(reached) if reached else []
@@ -142,19 +144,16 @@ class StreamingViterbi:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, most: int = CACHE_SEGMENTS):
-        self.v, self.most = vocabulary, most
+        self.v, self.most, self.search = vocabulary, most, StreamingViterbi(vocabulary)
         self.known: dict[str, bytes] = {}
         parts = [f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+" if vocabulary.cuts_at_line_end else f"{BLANK}*[^{BLANK}]+|{BLANK}+"]
         self.split = re.compile(parts[0]).findall if vocabulary.cuts_at_blank else lambda text: [text]
 
     def _search(self, segment: str) -> bytes:
-        search, ids = StreamingViterbi(self.v), []
-        if len(segment) <= 64:  # needs no commit before its end
-            search.text = segment
-        else:
-            for lo in range(0, len(segment), 256):
-                ids += search.feed(segment[lo : lo + 256])
-        return np.array(ids + search.finish(), np.uint32).tobytes()
+        ids: list[int] = []
+        for lo in range(0, len(segment), 256):
+            ids += self.search.feed(segment[lo : lo + 256])
+        return np.array(ids + self.search.finish(), np.uint32).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -193,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in blocks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, "doc_id long, ids array<int>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encoded, "doc_id long, ids array<int>")
 
 
 def check_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -210,7 +209,7 @@ def check_documents(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(raw), hashlib.sha256(raw).hexdigest(), back == (text or "").replace(BLANK, " ")))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(checked, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), checked, SCHEMA)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
