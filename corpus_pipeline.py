@@ -17,6 +17,9 @@ from colonnade.llm.op5_token_files import vocabulary
 from colonnade.llm.op6_jaccard_join import one_of_each
 from colonnade.llm.op7_packing import cut_pieces, pack
 
+#: Least bytes of a repeated passage: over 50 words of prose have more, 40 words have fewer; and the bytes of an anchor in it.
+PASSAGE_BYTES, PASSAGE_GRAM = 250, 128
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -29,9 +32,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; n_chars follows the text."""
-    cut = deduplicate(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without their repeated passages; n_chars, where there is one, follows the text."""
+    cut = deduplicate(docs, PASSAGE_BYTES, PASSAGE_GRAM)
+    length = lambda f: F.length("text").cast(f.dataType).alias(f.name) if f.name.lower() == "n_chars" else F.col(f"`{f.name}`")
+    return cut.select(*[length(f) for f in docs.schema])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
