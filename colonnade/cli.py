@@ -1,9 +1,10 @@
-"""Command line: ``python -m colonnade.cli COMMAND TABLE ...``; TABLE is a table's folder."""
+"""Command line: ``python -m colonnade.cli COMMAND TABLE ...``; TABLE is a table's folder, or a document file that is used in place."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 
@@ -12,9 +13,11 @@ from pyspark.sql import SparkSession
 from .errors import ColonnadeError, InsertError, QueryError
 from .operators.constraints import Constraints
 from .operators.join import inner_join, parse_on
-from .operators.query import as_table
+from .operators.query import as_table, in_utc
 from .operators.vector_search import parse_vector
 from .sources import files
+from .sources.document import Document, parse_document
+from .sources.inplace import DocumentFile
 from .store import Table, apply_json, elapsed
 from .types import kind_of, parse_columns
 
@@ -33,13 +36,25 @@ def _json(text: str, kind: type, what: str):
     return found
 
 
+def _open(spark: SparkSession, path: str) -> Table | DocumentFile:
+    return DocumentFile(spark, path) if os.path.isfile(path) else Table.open(spark, path)
+
+
 def _show(df) -> None:
-    print(as_table(df.columns, df.collect()))
+    for line in as_table(df.columns, in_utc(df).toLocalIterator()):
+        print(line)
 
 
 def create(spark, a):
     rules = Constraints(a.primary_key, _names(a.unique), _names(a.not_null), _json(a.default, dict, "--default") if a.default else {})
-    Table.create(spark, a.table, parse_columns(a.columns), rules)
+    columns = parse_columns(a.columns)
+    if a.document:
+        if os.path.exists(a.table):
+            raise QueryError(f"a file exists at {a.table}")
+        doc = Document(columns, {c: [] for c, _ in columns}, rules)
+        files.save(parse_document(json.loads(files.to_json(doc))), a.table, a.document)
+    else:
+        Table.create(spark, a.table, columns, rules)
     print(f"created {a.table}")
 
 
@@ -48,7 +63,7 @@ def import_(spark, a):
 
 
 def validate(spark, a):
-    Table.open(spark, a.table).check()
+    _open(spark, a.table).check()
     print("valid")
 
 
@@ -56,32 +71,34 @@ def insert(spark, a):
     if (a.row is None) == (a.rows is None):
         raise InsertError("give one of --row and --rows")
     rows = [_json(a.row, dict, "--row")] if a.row is not None else _json(a.rows, list, "--rows")
-    table = Table.open(spark, a.table)
-    print(f"inserted {table.insert(rows)} rows, {table.version.row_count} in all")
+    table = _open(spark, a.table)
+    print(f"inserted {table.insert(rows)} rows, {table.row_count} in all")
 
 
 def delete(spark, a):
-    print(f"deleted {Table.open(spark, a.table).delete(a.where)} rows")
+    print(f"deleted {_open(spark, a.table).delete(a.where)} rows")
 
 
 def update(spark, a):
-    print(f"updated {Table.open(spark, a.table).update(a.where, _json(a.set, dict, '--set'))} rows")
+    print(f"updated {_open(spark, a.table).update(a.where, _json(a.set, dict, '--set'))} rows")
 
 
 def query(spark, a):
-    _show(Table.open(spark, a.table).query(a.where, _names(a.select), a.limit))
+    _show(_open(spark, a.table).query(a.where, _names(a.select), a.limit))
 
 
 def info(spark, a):
-    v = Table.open(spark, a.table).version
-    print(f"version {v.number}\nrows {v.row_count}\nfiles {len(v.files)}")
-    for name, kind in v.columns:
-        marks = [m for m, on in (("primary key", name == v.rules.primary_key), ("unique", name in v.rules.unique), ("not null", name in v.rules.not_null), (f"default {json.dumps(v.rules.defaults.get(name))}", name in v.rules.defaults), (f"{v.layouts.get(name)} index", name in v.layouts)) if on]
+    table = _open(spark, a.table)
+    held = table.version if isinstance(table, Table) else table.doc
+    rules, indexes = held.rules, held.layouts if isinstance(table, Table) else held.indexes
+    print("\n".join([*table.describe(), f"rows {table.row_count}"]))
+    for name, kind in held.columns:
+        marks = [m for m, on in (("primary key", name == rules.primary_key), ("unique", name in rules.unique), ("not null", name in rules.not_null), (f"default {json.dumps(rules.defaults.get(name))}", name in rules.defaults), (f"{indexes.get(name)} index", name in indexes)) if on]
         print(f"  {name}: {kind}" + (f"  [{', '.join(marks)}]" if marks else ""))
 
 
 def export(spark, a):
-    doc = Table.open(spark, a.table).to_document()
+    doc = _open(spark, a.table).to_document()
     if a.output:
         files.save(doc, a.output, a.format, a.pretty)
     elif a.format == "json":
@@ -91,34 +108,34 @@ def export(spark, a):
 
 
 def aggregate(spark, a):
-    _show(Table.open(spark, a.table).aggregate(a.column, a.function, a.where))
+    _show(_open(spark, a.table).aggregate(a.column, a.function, a.where))
 
 
 def add_column(spark, a):
-    Table.open(spark, a.table).add_column(a.name, a.type)
+    _open(spark, a.table).add_column(a.name, a.type)
     print(f"added {a.name}")
 
 
 def search(spark, a):
-    _show(Table.open(spark, a.table).search(a.column, parse_vector(a.vector), a.top_k, a.metric, _names(a.select)))
+    _show(_open(spark, a.table).search(a.column, parse_vector(a.vector), a.top_k, a.metric, _names(a.select)))
 
 
 def explain(spark, a):
-    print(Table.open(spark, a.table).explain(a.where))
+    print(_open(spark, a.table).explain(a.where))
 
 
 def txn(spark, a):
-    done = apply_json(Table.open(spark, a.table), _json(a.ops, list, "--ops"))
+    done = apply_json(_open(spark, a.table), _json(a.ops, list, "--ops"))
     print(f"committed {len(done)} operations on {sum(done)} rows")
 
 
 def create_index(spark, a):
-    Table.open(spark, a.table).create_layout(a.column, a.type)
+    _open(spark, a.table).create_layout(a.column, a.type)
     print(f"indexed {a.column}")
 
 
 def drop_index(spark, a):
-    Table.open(spark, a.table).drop_layout(a.column)
+    _open(spark, a.table).drop_layout(a.column)
     print(f"dropped the index of {a.column}")
 
 
@@ -128,20 +145,20 @@ def build_vector_index(spark, a):
 
 
 def analyze(spark, a):
-    for c, s in Table.open(spark, a.table).analyze().items():
+    for c, s in _open(spark, a.table).analyze().items():
         print(f"{c}: {json.dumps(s, default=str)}")
 
 
 def compact(spark, a):
-    Table.open(spark, a.table).compact()
+    _open(spark, a.table).compact()
     print("compacted")
 
 
 def join(spark, a):
-    left, right = Table.open(spark, a.table).df, Table.open(spark, a.right).df
-    out = inner_join(left, right, *parse_on(a.on))
+    left, right = _open(spark, a.table).df, _open(spark, a.right).df
+    out = inner_join(left, right, *parse_on(a.on), as_text=a.as_text)
     if not a.output:
-        for r in out.toLocalIterator():
+        for r in in_utc(out).toLocalIterator():
             print(json.dumps(r.asDict(), default=str, ensure_ascii=False))
         return
     target = Table.create(spark, a.output, [(f.name, kind_of(f.dataType)) for f in out.schema])
@@ -149,7 +166,7 @@ def join(spark, a):
 
 
 _OPTIONS = {
-    create: ("--columns!", "--primary-key", "--unique", "--not-null", "--default"),
+    create: ("--columns!", "--primary-key", "--unique", "--not-null", "--default", "--document"),  # --document json, binary or compressed: a file
     import_: ("file",),  # a document file becomes a table
     validate: (), info: (), analyze: (), compact: (),
     insert: ("--row", "--rows"),
@@ -165,7 +182,7 @@ _OPTIONS = {
     create_index: ("--column!", "--type!"),
     drop_index: ("--column!",),
     build_vector_index: ("--column!",),
-    join: ("right", "--on!", "--output"),
+    join: ("right", "--on!", "--output", "--as-text?"),
 }
 
 

@@ -13,22 +13,22 @@ class ValidationError(ColonnadeError):
 
 class TypeMismatch(ValidationError):
     def __init__(self, column: str, row: int, expected: str, got: str):
-        super().__init__(f"expected {expected}, got {got} at column '{column}' row {row}")
+        super().__init__(f"{column}[{row}] holds a {got}; the column takes {expected}")
 
 
 class PrimaryKeyViolation(ColonnadeError):
     def __init__(self, column: str, value: object):
-        super().__init__(f"duplicate or null primary key {value!r} in column '{column}'")
+        super().__init__(f"the key column {column} needs a value in every row" if value is None else f"the key {column} = {value!r} is taken")
 
 
 class UniqueViolation(ColonnadeError):
     def __init__(self, column: str, value: object):
-        super().__init__(f"duplicate value {value!r} in unique column '{column}'")
+        super().__init__(f"{column} = {value!r} stands in another row, and may not repeat")
 
 
 class NotNullViolation(ColonnadeError):
     def __init__(self, column: str):
-        super().__init__(f"column '{column}' does not allow null values")
+        super().__init__(f"{column} may not be left empty")
 
 
 class InsertError(ColonnadeError):
@@ -49,5 +49,5 @@ class SchemaError(ColonnadeError):
 
 class Conflict(ColonnadeError):
     def __init__(self, read: int, current: int):
-        super().__init__(f"table version {current} is not the version {read} that was read; read again and retry")
+        super().__init__(f"another writer has published version {current} since version {read} was read; read again and retry")
         self.read, self.current = read, current

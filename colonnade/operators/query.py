@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..errors import QueryError
 from ..plans.expression import Expression
 from ..plans.predicate import named, where
+from ..types import kind_of
 
 
 def project(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -37,20 +42,43 @@ def info(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def in_utc(df: DataFrame) -> DataFrame:
+    """``df`` with times as text in UTC to the microsecond, by Spark: a local time of the driver never comes in."""
+    return df.select(*[utc_text(df, f.name).alias(f.name) if kind_of(f.dataType) == "date" else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def utc_text(df: DataFrame, column: str) -> Column:
+    """A time column as RFC 3339 text that ends in Z; fractions of a second without trailing zeros. Days and times without zone count as UTC."""
+    c = named(df.schema, column)
+    if isinstance(df.schema[column].dataType, TimestampType):  # an instant: told in UTC whatever the session's zone
+        c = F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.concat(F.replace(c.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def as_text(value: object) -> str:
-    """A cell as the command line prints it."""
+    """A cell as the command line prints it; times come as text."""
     if value is None:
         return "NULL"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, list):
         return "[" + ", ".join(map(as_text, value)) + "]"
-    return value.strftime("%Y-%m-%dT%H:%M:%SZ") if hasattr(value, "strftime") else str(value)
+    return str(value)
+
+
+def as_table(columns: list[str], rows: Iterable, page: int = 1_000) -> Iterator[str]:
+    """Lines of a text table of rows as they come: columns are as wide as the first ``page`` rows need, which is all that is held."""
+    rows, n = iter(rows), 0
+    while head := [[as_text(v) for v in r] for r in islice(rows, page)]:
+        if not n:
+            widths = [max([len(c), *(len(r[i]) for r in head)]) for i, c in enumerate(columns)]
+            yield from (_line(columns, widths), "-+-".join("-" * w for w in widths))
+        yield from (_line(r, widths) for r in head)
+        n += len(head)
+    if not n:
+        yield from (" | ".join(columns), "-+-".join("-" * len(c) for c in columns))
+    yield f"({n} rows)"
 
 
-def as_table(columns: list[str], rows: list) -> str:
-    """A padded text table of collected rows."""
-    cells = [[as_text(v) for v in r] for r in rows]
-    widths = [max([len(c), *(len(r[i]) for r in cells)]) for i, c in enumerate(columns)]
-    line = lambda r: " | ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip()
-    return "\n".join([line(columns), "-+-".join("-" * w for w in widths), *map(line, cells), f"({len(rows)} rows)"])
+def _line(cells: list[str], widths: list[int]) -> str:
+    return " | ".join(v.ljust(w) for v, w in zip(cells, widths, strict=True)).rstrip()

@@ -7,6 +7,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from ..plans.predicate import named
 from ..types import kind_of
 
 METRICS = {"cosine": "similarity", "euclidean": "distance"}
-#: Vectors on which the index's cells are fitted, and the most cells.
-FIT_ROWS, MAX_CELLS = 20_000, 1024
+#: Vectors on which the index's cells are fitted, or so many a cell if that is more; and the most cells.
+FIT_ROWS, FIT_ROWS_A_CELL, MAX_CELLS = 20_000, 25, 4096
+#: Rows of a cell that one file holds.
+FILE_ROWS = 1_000_000
 #: Recall that probing aims at, and the sample's queries that it is measured with.
 RECALL, CALIBRATION_QUERIES = 0.95, 200
 
@@ -58,6 +62,12 @@ def search(df: DataFrame, column: str, vector: Sequence[float], k: int = 5, metr
     return out.select(*[named(out.schema, c) for c in select], METRICS[metric]) if select else out
 
 
+def top_k_f32(df: DataFrame, column: str, vector: Sequence[float], k: int = 5, order: list[str] | None = None) -> DataFrame:
+    """``top_k`` by cosine for a query of 32-bit floats; computed in doubles, the similarity is rounded to 32 bits."""
+    out = top_k(df, column, [float(x) for x in np.asarray(vector, np.float32)], k, "cosine", order)
+    return out.withColumn("similarity", F.col("similarity").cast("float"))
+
+
 class CellIndex:
     """Every vector in the cell of its nearest centre, by cosine. Centres are fitted on a bounded sample.
 
@@ -76,11 +86,13 @@ class CellIndex:
         n = some.count()
         if not n:
             raise QueryError("there are no vectors to index")
-        rows = some.sample(min(1.0, 1.5 * FIT_ROWS / n), seed=seed).limit(FIT_ROWS).toArrow().column("v").to_pylist() or [some.first()["v"]]
+        cells = cells or max(1, min(MAX_CELLS, int(math.sqrt(n))))
+        most = max(FIT_ROWS, FIT_ROWS_A_CELL * cells)
+        rows = some.sample(min(1.0, 1.5 * most / n), seed=seed).limit(most).toArrow().column("v").to_pylist() or [some.first()["v"]]
         width = max(map(len, rows))
         x = np.array([[e or 0.0 for e in r] for r in rows if len(r) == width], np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        cells = cells or max(1, min(MAX_CELLS, len(x), int(math.sqrt(n))))
+        cells = min(cells, len(x))
         rng = np.random.default_rng(seed)
         centres = x[rng.permutation(len(x))[:cells]]
         for _ in range(rounds):
@@ -103,30 +115,40 @@ class CellIndex:
         """``df`` with its cell; null vectors are left out, other lengths go to cell -1."""
         centres = self.centres
 
-        @F.pandas_udf("int")
-        def cell(s):
-            import pandas as pd
-
-            out = np.full(len(s), -1, np.int32)
-            fit = [i for i, v in enumerate(s) if len(v) == centres.shape[1]]
-            if fit:
-                x = np.array([s.iloc[i] for i in fit], np.float64)
-                out[fit] = (np.nan_to_num(x) @ centres.T).argmax(1)
-            return pd.Series(out)
+        @F.arrow_udf("int")
+        def cell(vectors: pa.Array) -> pa.Array:
+            fit = pc.equal(pc.list_value_length(vectors), centres.shape[1]).to_numpy(zero_copy_only=False).astype(bool)
+            out = np.full(len(vectors), -1, np.int32)
+            own = np.flatnonzero(fit)
+            flat = vectors.filter(pa.array(fit)).flatten().cast(pa.float64()).fill_null(0.0)
+            x = np.nan_to_num(flat.to_numpy(zero_copy_only=False)).reshape(len(own), centres.shape[1])
+            for lo in range(0, len(own), 1024):  # vectors x centres
+                out[own[lo : lo + 1024]] = (x[lo : lo + 1024] @ centres.T).argmax(1)
+            return pa.array(out)
 
         c = named(df.schema, self.column)
         return df.where(c.isNotNull()).withColumn("cell", cell(c))
 
+    def write_cells(self, df: DataFrame, path: str, rows: int) -> None:
+        """The assigned table of about ``rows`` rows as Parquet by cell; a cell of many rows is split over tasks and files."""
+        ways = max(1, -(-rows // (len(self.centres) * FILE_ROWS)))
+        split = F.pmod(F.xxhash64(named(df.schema, self.column)), F.lit(ways))
+        self.assign(df).repartition("cell", split).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(path)
+
     def save(self, df: DataFrame, path: str) -> None:
         """Write the assigned table and the centres under ``path``."""
         spark = df.sparkSession
-        self.assign(df).repartition("cell").write.partitionBy("cell").parquet(f"{path}/cells")
+        self.write_cells(df, f"{path}/cells", df.count())
         spark.createDataFrame([(json.dumps({"column": self.column, "probes": self.default_probes, "centres": self.centres.tolist()}),)], "value string").coalesce(1).write.text(f"{path}/centres")
 
     @classmethod
-    def load(cls, spark, path: str) -> tuple[CellIndex, DataFrame]:
+    def load(cls, spark, path: str, more: Sequence[str] = ()) -> tuple[CellIndex, DataFrame]:
+        """The index and its cells; ``more`` are further folders of cells, of rows that came later."""
         found = json.loads(spark.read.text(f"{path}/centres").first()["value"])
-        return cls(np.array(found["centres"]), found["column"], found["probes"]), spark.read.parquet(f"{path}/cells")
+        cells = spark.read.parquet(f"{path}/cells")
+        for folder in more:
+            cells = cells.unionByName(spark.read.parquet(folder))
+        return cls(np.array(found["centres"]), found["column"], found["probes"]), cells
 
     def probes(self, vector: Sequence[float], n: int | None = None) -> list[int]:
         """The cells nearest to a query."""

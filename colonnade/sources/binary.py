@@ -186,10 +186,10 @@ def encode_compressed(doc: Document) -> bytes:
     return MAGIC_COMPRESSED + zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(encode(doc))
 
 
-def decode_compressed(raw: bytes) -> Document:
+def decode_compressed(raw: bytes, only: set[str] | None = None) -> Document:
     if raw[:4] != MAGIC_COMPRESSED:
         raise StorageError("not a compressed table file")
     try:
-        return decode(zstandard.ZstdDecompressor().decompressobj().decompress(raw[4:]))
+        return decode(zstandard.ZstdDecompressor().decompressobj().decompress(raw[4:]), only)
     except zstandard.ZstdError as e:
         raise StorageError(f"broken compressed file: {e}") from e

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..types import kind_of, spark_schema
@@ -25,59 +32,92 @@ class _Reader(DataSourceReader):
         from .document import to_arrow
         from .files import load
 
-        yield from to_arrow(load(partition.path)).select(self.names).to_batches()
+        yield from to_arrow(load(partition.path, only=set(self.names))).select(self.names).to_batches()
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str
+
 
+def _cells(column: pa.ChunkedArray | pa.Array, kind: str) -> list:
+    """An Arrow column as the JSON values of a document; times are told in UTC to the microsecond."""
+    if kind != "date":
+        return column.to_pylist()
+    micros = column.cast(pa.timestamp("us")).to_pylist()  # without zone: the UTC clock
+    return [None if v is None else v.isoformat(timespec="microseconds").rstrip("0").rstrip(".") + "Z" for v in micros]
 
-class _Writer(DataSourceWriter):
-    """Each task writes the rows of its partition as one document."""
 
-    def __init__(self, path: str, schema: StructType, form: str):
-        self.path, self.form, self.columns = path, form, [(f.name, kind_of(f.dataType)) for f in schema]
+class _Writer(DataSourceArrowWriter):
+    """Each task writes the rows of its partition as one document into a folder of the job's own.
 
-    def write(self, rows):
-        import os
-        import uuid
+    On commit the files of the successful attempts are moved beside the others, or take their place
+    on overwrite; what other attempts have written goes with the job's folder.
+    """
 
-        from ..types import to_spark  # noqa: F401  the worker imports the package here
+    def __init__(self, path: str, schema: StructType, form: str, overwrite: bool):
+        self.path, self.form, self.overwrite = path, form, overwrite
+        self.columns = [(f.name, kind_of(f.dataType)) for f in schema]
+        self.own = f"{path}/_pending-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        from ..operators.constraints import Constraints
         from .document import Document, check_rules
         from .files import save
-        from ..operators.constraints import Constraints
 
-        os.makedirs(self.path, exist_ok=True)
+        os.makedirs(self.own, exist_ok=True)
         cells: dict[str, list] = {n: [] for n, _ in self.columns}
-        for row in rows:
-            for (n, kind), v in zip(self.columns, row, strict=True):
-                cells[n].append(v.strftime("%Y-%m-%dT%H:%M:%SZ") if kind == "date" and v is not None else v)
+        for batch in iterator:
+            for i, (n, kind) in enumerate(self.columns):
+                cells[n] += _cells(batch.column(i), kind)
         check_rules(self.columns, cells, Constraints())
-        save(Document(self.columns, cells), f"{self.path}/part-{uuid.uuid4().hex}", self.form)
-        return WriterCommitMessage()
+        file = f"part-{uuid.uuid4().hex}"
+        save(Document(self.columns, cells), f"{self.own}/{file}", self.form)
+        return _Written(file)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        before = _documents(self.path) if self.overwrite else []
+        for m in messages:
+            if m is not None:
+                os.replace(f"{self.own}/{m.file}", f"{self.path}/{m.file}")
+        for old in before:
+            for name in (old, f"{old}.wal", f"{old}.lock"):
+                if os.path.exists(name):
+                    os.remove(name)
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.own, ignore_errors=True)
+
+
+def _documents(path: str) -> list[str]:
+    if not os.path.isdir(path):
+        return [path] if os.path.exists(path) else []
+    return sorted(f"{path}/{n}" for n in os.listdir(path) if not n.startswith(("_", ".")) and not n.endswith((".lock", ".wal")))
 
 
 class DocumentSource(DataSource):
-    """Options: ``path`` (a file or folder) and, for writing, ``form`` (json, binary or compressed)."""
+    """Options: ``path`` (a file or folder that all machines share), ``columns`` (names to read, by comma) and, for writing, ``form`` (json, binary or compressed)."""
 
     @classmethod
     def name(cls) -> str:
         return "colonnade"
 
-    def _paths(self) -> list[str]:
-        import os
-
-        path = self.options["path"]
-        if not os.path.isdir(path):
-            return [path]
-        return sorted(f"{path}/{n}" for n in os.listdir(path) if not n.startswith(("_", ".")) and not n.endswith((".lock", ".wal")))
-
     def schema(self) -> StructType:
+        from ..errors import QueryError
         from .files import load
 
-        return spark_schema(load(self._paths()[0]).columns)
+        columns = load(_documents(self.options["path"])[0]).columns
+        wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        if missing := [c for c in wanted if c not in dict(columns)]:
+            raise QueryError(f"column '{missing[0]}' does not exist")
+        return spark_schema([(c, dict(columns)[c]) for c in wanted] if wanted else columns)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self._paths(), schema)
+        return _Reader(_documents(self.options["path"]), schema)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], schema, self.options.get("form", "binary"))
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options["path"], schema, self.options.get("form", "binary"), overwrite)
 
 
 def register(spark: SparkSession) -> None:

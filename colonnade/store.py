@@ -1,7 +1,8 @@
 """Versioned tables: Parquet data files and a log of commits.
 
-``root/_log/<version>.json`` lists the files of a version with schema, constraints, layouts and
-statistics; its CRC-32 stands behind a tab. A commit is published by exclusive creation, so of two
+``root/_log/<version>.json`` holds a version's schema, constraints, layouts and statistics, and its
+files: all of them in every ``FULL_EVERY``-th record, else those added and dropped since the version
+before; its CRC-32 stands behind a tab. A commit is published by exclusive creation, so of two
 writers that read the same version one gets ``Conflict``. Inserts add files and rewrite nothing;
 deletes and updates rewrite only files that hold a selected row; add-column is a change of the
 schema alone. A hidden column keeps the order of insertion, which limits follow.
@@ -12,6 +13,7 @@ whose create without overwrite is.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import time
@@ -29,15 +31,19 @@ from .operators import aggregate as agg
 from .operators import constraints as con
 from .operators import mutate, query, stats, vector_search
 from .operators.constraints import Constraints
-from .plans.explain import Node, plan
+from .plans.explain import Estimate, estimate
 from .plans.expression import Expression, parse_filter
 from .plans.predicate import compile_predicate, named
 from .types import NAMES, accepts, spark_schema
 
 ROW = "__row"
+#: Parts of a data file's name below the root: data, folder, file.
+FILE_PARTS = 3
 LAYOUTS = ("hash", "sorted")
-#: A commit that brings the number of commits since the last compaction to this compacts.
-COMPACT_AFTER = 100
+#: Records between two that list all files.
+FULL_EVERY = 20
+#: Compaction aims at files of so many bytes in memory, and comes by itself when a commit leaves so many files smaller than that on average.
+FILE_BYTES, SMALL_FILES = 512 << 20, 200
 
 
 class _Files:
@@ -107,10 +113,19 @@ class Version:
     stats: dict[str, dict] = field(default_factory=dict)
     extensions: object = field(default_factory=dict)
     ops: list[str] = field(default_factory=list)
+    #: Files of the last compaction; what came later counts towards the next.
     compacted: int = 0
-
-    def to_text(self) -> str:
-        body = json.dumps(self.__dict__ | {"rules": self.rules.__dict__}, ensure_ascii=False)
+    #: By stream, its last batch that is in the table.
+    batches: dict[str, int] = field(default_factory=dict)
+    #: Where not all files are listed: those added and dropped since the version before.
+    change: tuple[list[str], list[str]] | None = None
+
+    def to_text(self, old: Version | None = None) -> str:
+        fields = self.__dict__ | {"rules": self.rules.__dict__}
+        if old is not None and self.number % FULL_EVERY:
+            before, now = set(old.files), set(self.files)
+            fields |= {"files": [], "change": ([f for f in self.files if f not in before], [f for f in old.files if f not in now])}
+        body = json.dumps(fields, ensure_ascii=False)
         return f"{body}\t{zlib.crc32(body.encode()):08x}"
 
     @classmethod
@@ -123,6 +138,22 @@ class Version:
         raw["rules"] = Constraints(**raw["rules"])
         return cls(**raw)
 
+    @classmethod
+    def read(cls, files: _Files, number: int) -> Version:
+        """A version with all its files, from its record and those back to the last full one."""
+        found = cls.from_text(files.read(_log_name(number)))
+        changes, at = [], found
+        while at.change is not None:
+            changes.append(at.change)
+            at = cls.from_text(files.read(_log_name(at.number - 1)))
+        listed = dict.fromkeys(at.files)
+        for added, dropped in reversed(changes):
+            for f in dropped:
+                listed.pop(f, None)
+            listed |= dict.fromkeys(added)
+        found.files, found.change = list(listed), None
+        return found
+
 
 def _log_name(number: int) -> str:
     return f"_log/{number:020d}.json"
@@ -160,7 +191,7 @@ class Table:
             if not names:
                 raise StorageError(f"there is no table at {root}")
             number = int(names[-1].split(".")[0])
-        return cls(spark, root, Version.from_text(files.read(_log_name(number))))
+        return cls(spark, root, Version.read(files, number))
 
     @classmethod
     def from_document(cls, spark: SparkSession, root: str, doc) -> Table:
@@ -191,6 +222,13 @@ class Table:
     def df(self) -> DataFrame:
         return self._stored().drop(ROW)
 
+    @property
+    def row_count(self) -> int:
+        return self.version.row_count
+
+    def describe(self) -> list[str]:
+        return [f"version {self.version.number}", f"files {len(self.version.files)}"]
+
     def query(self, condition: str | Expression | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Filter, then the first ``limit`` rows in insertion order, then project."""
         return query.query(self._stored(), condition, columns or self.schema.fieldNames(), limit, [ROW])
@@ -200,18 +238,28 @@ class Table:
 
     def search(self, column: str, vector: list[float], k: int = 5, metric: str = "cosine", select: list[str] | None = None) -> DataFrame:
         """Through the column's vector index if there is one and the metric is cosine, else exact."""
-        folder = (self.version.layouts or {}).get(f"vector:{column}")
-        if folder and metric == "cosine":
-            index, cells = vector_search.CellIndex.load(self.spark, f"{self.root}/{folder}")
+        if metric == "cosine" and self._vector_folders(column):
+            index, cells = self._vector_index(column)
             found = index.search(cells, vector, k, order=[ROW])
         else:
             found = vector_search.top_k(self._stored(), column, vector, k, metric, [ROW])
         score = vector_search.METRICS[metric]
         return found.select(*[named(found.schema, c) for c in select or self.schema.fieldNames()], score)
 
-    def explain(self, condition: str) -> Node:
+    def _vector_folders(self, column: str) -> list[str]:
+        return [f for f in self.version.layouts.get(f"vector:{column}", "").split("|") if f]
+
+    def _vector_index(self, column: str) -> tuple[vector_search.CellIndex, DataFrame]:
+        first, *more = (f"{self.root}/{f}" for f in self._vector_folders(column))
+        return vector_search.CellIndex.load(self.spark, first, more)
+
+    def explain(self, condition: str) -> Estimate:
+        """What the filter is expected to select, and Spark's plan for it; nothing is run."""
+        e = parse_filter(condition)
         valid = {c: s for c, s in self.version.stats.items() if s.get("valid")}
-        return plan(parse_filter(condition), self.version.row_count, valid, {c: k for c, k in self.version.layouts.items() if k in LAYOUTS})
+        found = estimate(e, self.version.row_count, valid, {c: k for c, k in self.version.layouts.items() if k in LAYOUTS})
+        found.physical = self.df.where(compile_predicate(self.schema, e))._jdf.queryExecution().executedPlan().toString()
+        return found
 
     # -- writing -----------------------------------------------------------------------------
 
@@ -235,11 +283,11 @@ class Table:
             fields["stats"] = {c: s | {"valid": False} for c, s in old.stats.items()}
             fields["layouts"] = {c: k for c, k in old.layouts.items() if not c.startswith("vector:")}
         new = Version(number=old.number + 1, ops=op if isinstance(op, list) else [op], **(fields | changes))
-        if not self._files.create(_log_name(new.number), new.to_text()):
+        if not self._files.create(_log_name(new.number), new.to_text(old)):
             names = self._files.names("_log")
             raise Conflict(old.number, int([n for n in names if n.endswith(".json")][-1].split(".")[0]))
         self.version = new
-        if new.number - new.compacted >= COMPACT_AFTER and not op == "compact":
+        if "files" in changes and op != "compact" and len(new.files) >= SMALL_FILES + 2 * new.compacted and self._bytes() < len(new.files) * FILE_BYTES // 4:
             self.compact()
 
     def _numbered(self, new: DataFrame) -> DataFrame:
@@ -251,15 +299,30 @@ class Table:
         found = self._stored(files).agg(F.count(F.lit(1)).alias("n"), F.max(ROW).alias("last")).first() if files else {"n": 0, "last": None}
         return files, found["n"], self.version.next_row if found["last"] is None else found["last"] + 1
 
-    def append(self, new: DataFrame) -> int:
-        """Insert a DataFrame of the table's columns, missing ones from defaults; all or nothing."""
+    def append(self, new: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Insert a DataFrame of the table's columns, missing ones from defaults; all or nothing.
+
+        ``batch`` names a stream and the number of its batch: one that the table has already is not inserted again. Vector
+        indexes get the new rows, in the same commit.
+        """
+        if batch and self.version.batches.get(batch[0], -1) >= batch[1]:
+            return 0
         new = mutate.fill_defaults(new, self.schema, self.version.rules.defaults)
         for f in self.schema:
             if new.schema[f.name].dataType != f.dataType:
                 raise QueryError(f"column '{f.name}' is {new.schema[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
         con.check_new(self.df, new, self.version.rules)
         files, n, next_row = self._added(new)
-        self._publish("insert", files=[*self.version.files, *files], row_count=self.version.row_count + n, next_row=next_row)
+        layouts = dict(self.version.layouts)
+        for name, folders in layouts.items():
+            if name.startswith("vector:") and n:
+                column = name.removeprefix("vector:")
+                folder = f"index/{column}-{uuid.uuid4().hex}"
+                index, _ = self._vector_index(column)
+                index.write_cells(self._stored(files), f"{self.root}/{folder}", n)
+                layouts[name] = f"{folders}|{folder}"
+        batches = self.version.batches | ({batch[0]: batch[1]} if batch else {})
+        self._publish("insert", files=[*self.version.files, *files], row_count=self.version.row_count + n, next_row=next_row, layouts=layouts, batches=batches)
         return n
 
     def insert(self, rows: list[dict]) -> int:
@@ -300,7 +363,7 @@ class Table:
         self._publish("drop_index", layouts={c: k for c, k in self.version.layouts.items() if c != column})
 
     def build_vector_index(self, column: str) -> None:
-        """An index of this version's vectors; the next change of data drops it."""
+        """An index of this version's vectors. Inserts add to it; other changes of rows or columns drop it."""
         index = vector_search.CellIndex.fit(self._stored(), column)
         folder = f"index/{column}-{uuid.uuid4().hex}"
         index.save(self._stored(), f"{self.root}/{folder}")
@@ -312,19 +375,34 @@ class Table:
         return found
 
     def check(self) -> None:
-        """Run all constraints and the row count over the stored rows."""
+        """Run all constraints, the row count and the layouts over the stored rows."""
         con.check(self.df, self.version.rules)
         n = self.df.count()
         if n != self.version.row_count:
             raise StorageError(f"the table holds {n} rows, its log says {self.version.row_count}")
+        ordered = [c for c, kind in self.version.layouts.items() if kind == "sorted"][:1]  # files are sorted by the first
+        for name in self.version.layouts:
+            if name.startswith("vector:"):
+                column = name.removeprefix("vector:")
+                _, cells = self._vector_index(column)
+                wanted = self.df.where(named(self.schema, column).isNotNull()).count()
+                if cells.count() != wanted:
+                    raise StorageError(f"the vector index of '{column}' does not hold the column's {wanted} vectors")
+        if ordered and self.version.files and (file := _first_unsorted(self._stored(), ordered[0])):
+            raise StorageError(f"{file} is not sorted by '{ordered[0]}'")
+
+    def _bytes(self) -> int:
+        """Bytes of the stored files, by Spark's own listing."""
+        return int(str(self._stored()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if self.version.files else 0
 
     def compact(self, files: int | None = None) -> None:
-        """Rewrite all rows into ``files`` files, or as many as the data needs, in insertion order within each."""
+        """Rewrite all rows into ``files`` files, or as many as their bytes need, in insertion order within each."""
         stored = self._stored()
-        spread = stored.repartitionByRange(files or max(1, min(len(self.version.files), stored.rdd.getNumPartitions())), ROW).sortWithinPartitions(ROW) if self.version.files else stored
+        n = files or max(1, -(-self._bytes() // FILE_BYTES))
+        spread = stored.repartitionByRange(n, ROW).sortWithinPartitions(ROW) if self.version.files else stored
         written = self._write(spread) if self.version.files else []
         kept = {"stats": self.version.stats, "layouts": self.version.layouts}
-        self._publish("compact", files=written, compacted=self.version.number + 1, **kept)
+        self._publish("compact", files=written, compacted=len(written), **kept)
 
     def transaction(self, check: bool = True) -> Transaction:
         return Transaction(self, check)
@@ -342,7 +420,7 @@ class Transaction:
 
     def __init__(self, table: Table, check: bool = True):
         self.table, self.check_version, self.ops = table, check, []
-        self.read = table.version.number
+        self.read = table.version.number if isinstance(table, Table) else None
 
     def insert(self, rows: dict | list[dict]) -> None:
         self.ops.append(("insert", rows if isinstance(rows, list) else [rows]))
@@ -370,19 +448,20 @@ class Transaction:
         version, schema, rules = table.version, table.schema, table.version.rules
         filters = [(i, op) for i, op in enumerate(self.ops) if op[0] != "insert"]
         flags: dict[int, Column] = {i: F.coalesce(compile_predicate(schema, op[1]), F.lit(False)) for i, op in filters}
-        touched, hit_files, counts = [0] * len(self.ops), [], {}
+        touched, hit_files, lost = [0] * len(self.ops), set(), 0
         if filters and version.files:
-            stored = table._stored()
-            flagged = stored.select(F.input_file_name().alias("file"), *[f.cast("int").alias(f"f{i}") for i, f in flags.items()])
-            found = flagged.groupBy("file").agg(*[F.sum(f"f{i}").alias(f"f{i}") for i in flags]).collect()  # one row a file
+            some = functools.reduce(Column.__or__, flags.values())  # reaches the scan, which skips files by their bounds
+            goes = functools.reduce(Column.__or__, [flags[i] for i, op in filters if op[0] == "delete"], F.lit(False))
+            flagged = table._stored().where(some).select(F.input_file_name().alias("file"), goes.cast("int").alias("gone"), *[f.cast("int").alias(f"f{i}") for i, f in flags.items()])
+            found = flagged.groupBy("file").agg(F.sum("gone").alias("gone"), *[F.sum(f"f{i}").alias(f"f{i}") for i in flags]).collect()  # one row a file that is hit
             for r in found:
-                if any(r[f"f{i}"] for i in flags):
-                    hit_files.append(unquote(r["file"]))
+                hit_files.add("/".join(unquote(r["file"]).split("/")[-FILE_PARTS:]))
+                lost += r["gone"]
                 for i in flags:
-                    counts[i] = counts.get(i, 0) + r[f"f{i}"]
-        for i, n in counts.items():
-            touched[i] = n
-        hit = [f for f in version.files if any(h.endswith(f) for h in hit_files)]
+                    touched[i] += r[f"f{i}"]
+        hit = [f for f in version.files if f in hit_files]
+        if len(hit) < len(hit_files):
+            raise StorageError("a file that Spark read is not in the table's log")
         old = table._stored(hit)
         for i, f in flags.items():
             old = old.withColumn(f"__f{i}", f)
@@ -403,28 +482,47 @@ class Transaction:
         for i, op in enumerate(self.ops):
             if op[0] == "insert":
                 touched[i] = len(op[1])
-        untouched = table._stored([f for f in version.files if f not in hit])
+        untouched = table._stored([f for f in version.files if f not in hit_files])
         if added:
             new = mutate.rows_frame(table.spark, schema, added, rules).coalesce(1)
             con.check_new(untouched.unionByName(rest).drop(ROW), new, rules)
         keys = Constraints(rules.primary_key if rules.primary_key in checked else None, [c for c in rules.unique if c in checked])
         if keys.primary_key or keys.unique:
             con.check(untouched.unionByName(rest).drop(ROW), keys)
-        files = [f for f in version.files if f not in hit]
+        files = [f for f in version.files if f not in hit_files]
         if hit:
             files += table._write(rest)
-        next_row = version.next_row
+        next_row, total = version.next_row, version.row_count - lost
         if added:
-            more, _, next_row = table._added(new)
-            files += more
-        total = table._stored(files).count()
+            more, n, next_row = table._added(new)
+            files, total = files + more, total + n
         table._publish([op[0] for op in self.ops], files=files, row_count=total, next_row=next_row)
         return touched
 
 
+def _first_unsorted(stored: DataFrame, column: str) -> str | None:
+    """A file in which a value is followed by a smaller one; nulls come first. Each task looks at its own rows, in their order."""
+    c = named(stored.schema, column)
+
+    def look(batches):
+        import pyarrow as pa
+
+        last: dict[str, object] = {}
+        for batch in batches:
+            for file, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                before = last.get(file)
+                if before is not None and (v is None or v < before):
+                    yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
+                    return
+                last[file] = v
+
+    found = stored.select(F.input_file_name(), c).mapInArrow(look, "file string").first()
+    return found[0] if found else None
+
+
 def apply_json(table: Table, ops: list[dict]) -> list[int]:
-    """A transaction from JSON operations: insert with row, delete with where, update with where and set."""
-    txn = table.transaction()
+    """A transaction from JSON operations: insert with row, delete with where, update with where and set. ``table`` may be a document in place."""
+    txn = table.transaction() if isinstance(table, Table) else Transaction(table)
     for i, op in enumerate(ops):
         kind = op.get("op") if isinstance(op, dict) else None
         if kind == "insert" and isinstance(op.get("row"), dict):
@@ -435,7 +533,7 @@ def apply_json(table: Table, ops: list[dict]) -> list[int]:
             txn.update(op["where"], op["set"])
         else:
             raise QueryError(f"operation {i} is not an insert, delete or update with its fields")
-    return txn.commit()
+    return txn.commit() if isinstance(table, Table) else table.change(txn.ops, together=True)
 
 
 def elapsed(since: float) -> str:

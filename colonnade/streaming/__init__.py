@@ -12,14 +12,14 @@ from ..store import Table
 def append_stream(stream: DataFrame, root: str, checkpoint: str, retries: int = 5, **trigger) -> StreamingQuery:
     """Insert each micro-batch into the table at ``root``, all or nothing.
 
-    A batch that another writer overtakes is tried again on the newer version. A batch that Spark
-    repeats after a failure fails on the primary key, if the table has one, instead of being inserted twice.
+    A batch that another writer overtakes is tried again on the newer version. The commit records the batch's number under
+    the checkpoint's path, so one that Spark repeats after a failure is not inserted twice.
     """
 
-    def insert(batch: DataFrame, _: int) -> None:
+    def insert(batch: DataFrame, number: int) -> None:
         for left in reversed(range(retries)):
             try:
-                Table.open(batch.sparkSession, root).append(batch)
+                Table.open(batch.sparkSession, root).append(batch, (checkpoint.rstrip("/"), number))
                 return
             except Conflict:
                 if not left:

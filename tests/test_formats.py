@@ -1,5 +1,8 @@
 import copy
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -136,3 +139,50 @@ def test_frames_and_source(spark, tmp_path):
     df.select("i", "s", "d").repartition(2).write.format("colonnade").option("form", "json").mode("append").save(str(tmp_path / "many"))
     back = spark.read.format("colonnade").load(str(tmp_path / "many"))
     assert sorted(back.collect()) == sorted(df.select("i", "s", "d").collect(), key=lambda r: r[0])
+
+
+def test_overwrite_and_attempts(spark, tmp_path):
+    datasource.register(spark)
+    path = str(tmp_path / "out")
+    df = spark.range(3).selectExpr("id", "timestamp_micros(id + 1704110400250000) AS t").repartition(2)
+    for _ in range(2):
+        df.write.format("colonnade").option("form", "json").mode("overwrite").save(path)
+    read = lambda: spark.read.format("colonnade").load(path)
+    assert read().count() == 3
+    df.write.format("colonnade").mode("append").save(path)
+    assert read().count() == 6 and read().select("id").distinct().count() == 3
+    assert spark.read.format("colonnade").option("columns", "t").load(path).columns == ["t"]
+    writer = datasource._Writer(path, df.schema, "json", False)
+    batch = df.coalesce(1).toArrow().to_batches()
+    kept, _retried = writer.write(iter(batch)), writer.write(iter(batch))
+    writer.commit([kept])  # of two attempts at a task one counts
+    assert read().count() == 9 and not [n for n in os.listdir(path) if n.startswith("_")]
+    writer = datasource._Writer(path, df.schema, "json", False)
+    writer.write(iter(batch))
+    writer.abort([])
+    assert read().count() == 9
+
+
+ZONES = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from colonnade.sources import datasource, files
+from colonnade.sources.document import from_frame
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", sys.argv[3]).getOrCreate()
+datasource.register(spark)
+df = spark.sql("SELECT timestamp_micros(1704110400250000) AS t, timestamp_micros(1710055800000001) AS u")
+doc = from_frame(df, [("t", "date"), ("u", "date")])
+assert doc.data == {"t": ["2024-01-01T12:00:00.25Z"], "u": ["2024-03-10T07:30:00.000001Z"]}, doc.data
+df.write.format("colonnade").option("form", "json").mode("overwrite").save(sys.argv[2])
+back = spark.read.format("colonnade").load(sys.argv[2])
+micros = lambda d: d.selectExpr("unix_micros(t)", "unix_micros(u)").collect()
+assert micros(back) == micros(df), (micros(back), micros(df))
+"""
+
+
+@pytest.mark.parametrize(("system", "session"), [("America/New_York", "UTC"), ("UTC", "Asia/Kolkata")])
+def test_times_in_other_zones(tmp_path, system, session):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", ZONES, root, str(tmp_path / "z"), session], env=os.environ | {"TZ": system}, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -9,7 +9,7 @@ from colonnade.operators import mutate, query, stats
 from colonnade.operators import vector_search as vs
 from colonnade.operators.constraints import Constraints
 from colonnade.operators.join import inner_join, parse_on
-from colonnade.plans.explain import plan
+from colonnade.plans.explain import estimate
 from colonnade.plans.expression import parse
 
 
@@ -30,7 +30,8 @@ def test_query(people):
     assert query.query(people, limit=0).count() == 0
     with pytest.raises(QueryError):
         query.query(people, columns=["nope"])
-    assert "NULL" in query.as_table(people.columns, people.collect())
+    lines = list(query.as_table(people.columns, people.collect(), page=2))
+    assert "NULL" in lines[-2] and lines[-1] == "(5 rows)" and list(query.as_table(["a"], [])) == ["a", "-", "(0 rows)"]
 
 
 def test_aggregates(spark):
@@ -137,13 +138,33 @@ def test_constraints_and_mutations(people):
             mutate.add_column(people, name, kind)
 
 
-def test_stats_and_plan(people):
+def test_stats_and_estimates(people):
     found = stats.collect_stats(people)
     assert found["age"] == {"row_count": 5, "null_count": 0, "distinct_count": 4, "min": 25, "max": 35, "valid": True}
     assert found["active"]["null_count"] == 1 and found["active"]["min"] is None
-    tree = plan(parse("age > 30 AND NOT (name = 'Bob' OR id = 3)"), 5, found, {"age": "sorted"})
-    text = str(tree)
-    assert text.splitlines()[0].startswith("Intersect") and "SkippingScan(age > 30) [sorted layout]" in text and "Complement" in text
-    assert plan(parse("age <= 30"), 10, found).rows == 5.0
-    assert plan(parse("age = 1"), 10, {}).rows == 3.0
-    assert plan(parse("name != null"), 10, found).rows == 10.0
+    share = lambda text, s=found: estimate(parse(text), 100, s).share
+    assert share("age <= 30") == pytest.approx(0.5) and share("age = 26") == pytest.approx(0.25) and share("age = 99") == 0.0
+    assert share("age < 30") + share("age >= 30") == pytest.approx(1.0) and share("age > 35") == 0.0 and share("age >= 25") == pytest.approx(1.0)
+    assert share("active = null") == pytest.approx(0.2) and share("active != null") == pytest.approx(0.8) and share("active > null") == 0.0
+    assert share("age <= 30 AND id <= 3") == pytest.approx(0.25) and share("age <= 30 OR id <= 3") == pytest.approx(0.75) and share("NOT age <= 30") == pytest.approx(0.5)
+    assert share("name > 'B'") is None and share("age = 1", {}) is None and share("age = 1 AND name > 'B'") is None
+    tree = estimate(parse("age > 30 AND NOT (name = 'Bob' OR id = 3)"), 5, found, {"age": "sorted"})
+    lines = str(tree).splitlines()
+    assert lines[0].startswith("AND: about") and "age > 30" in lines[1] and lines[1].endswith("files laid out by sorted") and lines[2].strip().startswith("NOT: about")
+
+
+def test_join_on_text(spark):
+    left = spark.createDataFrame([(1, 1.0, "1"), (2, 2.5, "x"), (3, None, None), (4, 1e7, "null")], "n long, f double, s string")
+    pairs = lambda a, b: sorted((r[0], r[3]) for r in inner_join(left, left, a, b, as_text=True).collect())
+    assert pairs("n", "s") == [(1, 1)] and pairs("f", "n") == [(1, 1)]
+    assert pairs("f", "s") == [(1, 1), (3, 3), (3, 4)]
+    times = spark.sql("SELECT timestamp'2024-01-02 03:04:05.5' AS t, '2024-01-02T03:04:05.5Z' AS s, array(1) AS a")
+    assert inner_join(times, times, "t", "s", as_text=True).count() == 1
+    assert inner_join(times, times, "a", "s", as_text=True).count() == 0
+
+
+def test_vectors_of_32_bits(spark):
+    df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, -0.1])], "id long, v array<double>")
+    found = vs.top_k_f32(df, "v", [0.1, 0.2], 2, ["id"])
+    assert dict(found.dtypes)["similarity"] == "float"
+    assert [r.id for r in found.collect()] == [1, 2] and found.first().similarity == 1.0

@@ -10,3 +10,12 @@ def test_append_stream(spark, tmp_path):
     stream = where(spark.readStream.schema("id long, name string").parquet(source), "name != 'a'")
     append_stream(stream, table.root, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert sorted(r.id for r in Table.open(spark, table.root).df.collect()) == [2, 3]
+
+
+def test_repeated_batches(spark, tmp_path):
+    table = Table.create(spark, str(tmp_path / "t"), [("id", "int")])
+    batch = spark.range(3)
+    for number, rows in ((0, 3), (0, 3), (1, 6), (0, 6)):
+        Table.open(spark, table.root).append(batch, ("stream", number))
+        assert Table.open(spark, table.root).row_count == rows
+    assert Table.open(spark, table.root).append(batch, ("other", 0)) == 3
