@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ColonnadeError, Conflict, StorageError
 from .operators import aggregate as A
 from .operators import constraints as K
 from .operators import mutate as M
@@ -14,7 +19,14 @@ from .operators import query as Q
 from .operators import stats as S
 from .operators import vector_search as V
 from .operators.join import inner_join
+from .plans.expression import Compare
 from .plans.predicate import where
+from .sources import datasource, files
+from .sources.document import from_frame, to_frame
+from .sources.inplace import DocumentFile
+from .store import Table, apply_json
+from .streaming import append_stream
+from .types import kind_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +63,43 @@ def nullable_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that executors share: below ``spark.checkpoint.dir``; a temporary one only where a local run sets none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StorageError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="colonnade-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def document_path(spark: SparkSession, name: str) -> str:
+    """A path for a document file, which the driver reads and writes: in the shared folder where that is a mounted one."""
+    folder = re.sub("^file:(//)?", "", scratch(spark, "documents"))
+    if "://" in folder:
+        folder = tempfile.mkdtemp(prefix="colonnade-")
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{name}"
+
+
+def stored(df: DataFrame, rules: K.Constraints | None = None, *indexes: tuple[str, str]) -> Table:
+    """A new table with the rows of ``df`` in two inserts, so in several files, and its indexes."""
+    spark, kinds = df.sparkSession, [(f.name, kind_of(f.dataType)) for f in df.schema]
+    t = Table.create(spark, scratch(spark, "table"), kinds, rules)
+    wide = df.select(*[F.col(f.name).cast(t.schema[f.name].dataType) for f in df.schema])
+    half = F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == 0
+    t.append(wide.where(half))
+    t.append(wide.where(~half))
+    for column, kind in indexes:
+        t.create_layout(column, kind)
+    return t
+
+
+def narrow(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns in the types of the test tables."""
+    return df.select(*[F.col(f.name).cast(like.schema[f.name].dataType) if f.name in like.columns else F.col(f.name) for f in df.schema])
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     """One stored vector, to search with."""
     return [float(x) for x in Q.query(table(spark, sf_dir, "embeddings"), f"vec_id = {vec_id}", ["embedding"]).first()[0]]
@@ -200,11 +249,274 @@ def vec_search_select(spark, sf):
     return V.search(table(spark, sf, "embeddings"), "embedding", query_vector(spark, sf, 3), 10, "cosine", ["label"], ["vec_id"], 6)
 
 
+@_query(f"SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], z.v), 6) AS similarity FROM {_VECTORS.format(7)} ORDER BY similarity DESC, e.vec_id LIMIT 10")
+def vec_index_all_cells(spark, sf):
+    """The saved index with all of its cells probed, which is exact."""
+    df, folder = table(spark, sf, "embeddings"), scratch(spark, "cells")
+    V.CellIndex.fit(df, "embedding").save(df, folder)
+    index, cells = V.CellIndex.load(spark, folder)
+    return index.search(cells, query_vector(spark, sf, 7), 10, probes=len(index.centres), order=["vec_id"], digits=6).select("vec_id", "similarity")
+
+
 @_query(None)
 def vec_ann(spark, sf):
+    """Approximate search through a saved index: only the probed cells are read."""
+    df, folder = table(spark, sf, "embeddings"), scratch(spark, "cells")
+    V.CellIndex.fit(df, "embedding").save(df, folder)
+    index, cells = V.CellIndex.load(spark, folder)
+    return index.search(cells, query_vector(spark, sf, 0), 10, order=["vec_id"], digits=6).select("vec_id", "similarity")
+
+
+@_query(f"SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], z.v)::FLOAT, 5) AS similarity FROM {_VECTORS.format(5)} ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], z.v) DESC, e.vec_id LIMIT 5")
+def vec_topk_f32(spark, sf):
+    found = V.top_k_f32(table(spark, sf, "embeddings"), "embedding", query_vector(spark, sf, 5), 5, ["vec_id"])
+    return found.select("vec_id", F.round("similarity", 5).cast("float").alias("similarity"))
+
+
+@_query("SELECT vec_id FROM embeddings WHERE embedding = (SELECT embedding FROM embeddings WHERE vec_id = 11)")
+def filter_array(spark, sf):
+    """Equality of a whole array."""
+    e = Compare("embedding", "=", query_vector(spark, sf, 11))
+    return Q.query(table(spark, sf, "embeddings"), e, ["vec_id"])
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def where_fallback(spark, sf):
+    """An unquoted value, which only the fallback of the filter language takes."""
+    return Q.query(table(spark, sf, "customer"), "c_mktsegment=BUILDING", ["c_custkey"])
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_nationkey > 3 AND c_nationkey <= 7")
+def filter_fractional_bound(spark, sf):
+    """Literals of another number type: fractional bounds on an int column; a string literal equals no int."""
+    return Q.query(table(spark, sf, "customer"), "c_nationkey > 3.5 AND c_nationkey < 7.25 AND NOT c_nationkey = '5'", ["c_custkey"])
+
+
+@_query("SELECT s.s_suppkey AS left_s_suppkey, p.p_size AS right_p_size FROM supplier s JOIN part p ON s.s_nationkey::VARCHAR = p.p_size::VARCHAR")
+def join_cross_type(spark, sf):
+    """Keys of different types, compared as text on request."""
+    parts = table(spark, sf, "part").withColumn("size_text", F.col("p_size").cast("string"))
+    suppliers = table(spark, sf, "supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("double"))
+    return inner_join(suppliers, parts, "s_nationkey", "size_text", as_text=True).select("left_s_suppkey", "right_p_size")
+
+
+_NULL_TEXT = "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN NULL WHEN n_regionkey = 2 THEN 'null' ELSE n_name END AS k FROM nation"
+
+
+@_query(f"SELECT a.n_nationkey AS left_n_nationkey, b.n_nationkey AS right_n_nationkey FROM ({_NULL_TEXT}) a JOIN ({_NULL_TEXT}) b ON coalesce(a.k, 'null') = coalesce(b.k, 'null')")
+def join_null_as_text(spark, sf):
+    k = F.when(F.col("n_regionkey") != 1, F.when(F.col("n_regionkey") == 2, F.lit("null")).otherwise(F.col("n_name")))
+    keyed = table(spark, sf, "nation").select("n_nationkey", k.alias("k"))
+    return inner_join(keyed, keyed, "k", "k", null_as_text=True).select("left_n_nationkey", "right_n_nationkey")
+
+
+@_query("SELECT vec_id AS left_vec_id FROM embeddings WHERE false")
+def join_array_keys(spark, sf):
+    """Arrays are no keys: they match nothing."""
     df = table(spark, sf, "embeddings")
-    index = V.CellIndex.fit(df, "embedding")
-    return index.search(index.assign(df), query_vector(spark, sf, 0), 10, order=["vec_id"], digits=6).select("vec_id", "similarity")
+    return inner_join(df, df, "embedding", "embedding").select("left_vec_id")
+
+
+@_query("SELECT * FROM orders WHERE o_orderkey = 100")
+def table_hash_lookup(spark, sf):
+    """An equality on a table whose files carry bloom filters of the column."""
+    df = table(spark, sf, "orders")
+    return narrow(stored(df, K.Constraints("o_orderkey"), ("o_orderkey", "hash")).query("o_orderkey = 100"), df)
+
+
+@_query("SELECT * FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 120000")
+def table_sorted_lookup(spark, sf):
+    """A range on a table whose files are sorted by the column, and are checked to be."""
+    df = table(spark, sf, "orders")
+    t = stored(df, K.Constraints("o_orderkey"), ("o_totalprice", "sorted"))
+    t.check()
+    return narrow(t.query("o_totalprice >= 100000 AND o_totalprice < 120000"), df)
+
+
+@_query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def table_dropped_index(spark, sf):
+    """Rows do not depend on indexes, created and dropped."""
+    df = table(spark, sf, "part")
+    t = stored(df, None, ("p_brand", "hash"), ("p_size", "sorted"))
+    t.drop_layout("p_brand")
+    return narrow(t.query(), df)
+
+
+@_query("SELECT * FROM supplier UNION ALL SELECT 900001, 'Supplier new', 3, 1.5 UNION ALL SELECT 900002, 'Supplier new', 7, -2.0")
+def table_insert_batch(spark, sf):
+    """JSON rows and a default, inserted at once; a batch with a broken key leaves nothing."""
+    df = table(spark, sf, "supplier")
+    t = stored(df, K.Constraints("s_suppkey", not_null=["s_name"], defaults={"s_name": "Supplier new"}))
+    t.insert([{"s_suppkey": 900001, "s_nationkey": 3, "s_acctbal": 1.5}, {"s_suppkey": 900002, "s_nationkey": 7, "s_acctbal": -2}])
+    for bad in ([{"s_suppkey": 900003, "s_nationkey": 1, "s_acctbal": 0.0}, {"s_suppkey": 900001, "s_nationkey": 1, "s_acctbal": 0.0}], [{"s_suppkey": 1}], [{"s_suppkey": "x", "s_nationkey": 1, "s_acctbal": 0.0}]):
+        try:
+            t.insert(bad)
+        except ColonnadeError:
+            continue
+        raise AssertionError("a broken batch was taken")
+    return narrow(t.query(), df)
+
+
+@_query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT o_totalprice > 200000")
+def table_delete(spark, sf):
+    t = stored(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), None, ("o_totalprice", "sorted"))
+    t.delete("o_totalprice > 200000")
+    return t.query()
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders")
+def table_update(spark, sf):
+    t = stored(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), K.Constraints("o_orderkey"))
+    t.update("o_orderpriority = '1-URGENT'", {"o_orderstatus": "U"})
+    return t.query()
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 99999999, 1.25, 'F'")
+def table_transaction(spark, sf):
+    """Operations that count together; their filters see the table as it was read."""
+    t = stored(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), K.Constraints("o_orderkey"))
+    apply_json(t, [{"op": "insert", "row": {"o_orderkey": 99999999, "o_totalprice": 1.25, "o_orderstatus": "F"}}, {"op": "delete", "where": "o_orderstatus = 'P'"}, {"op": "update", "where": "o_orderstatus = 'F'", "set": {"o_totalprice": 0.0}}])
+    gone = t.transaction()
+    gone.delete("o_orderkey > 0")
+    gone.rollback()
+    gone.commit()
+    return t.query()
+
+
+@_query("SELECT true AS refused, count(*) AS row_count FROM nation WHERE n_nationkey <> 3")
+def table_conflict(spark, sf):
+    """Of two transactions on one version the later is refused; one that asks for no check is not."""
+    t = stored(table(spark, sf, "nation"))
+    late = Table.open(spark, t.root).transaction()
+    late.delete("n_nationkey = 4")
+    t.delete("n_nationkey = 3")
+    try:
+        late.commit()
+        refused = False
+    except Conflict:
+        refused = True
+    now = Table.open(spark, t.root)
+    return Q.info(now.df).select(F.lit(refused).alias("refused"), "row_count")
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0 ORDER BY c_custkey")
+def table_compacted(spark, sf):
+    """After deletes, compaction leaves the same rows in fewer files."""
+    t = stored(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), K.Constraints("c_custkey"))
+    t.delete("c_acctbal < 0")
+    t.compact(1)
+    t.check()
+    return Table.open(spark, t.root).query()
+
+
+@_query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name, NULL::VARCHAR AS note FROM region UNION ALL SELECT 77, 'FAR', 'added'")
+def table_add_column_then_insert(spark, sf):
+    t = stored(table(spark, sf, "region"))
+    t.add_column("note", "string")
+    t.insert([{"r_regionkey": 77, "r_name": "FAR", "note": "added"}])
+    return t.query()
+
+
+@_query("SELECT count(*) AS row_count, count(DISTINCT l_returnflag) AS kinds, false AS valid_after_write FROM lineitem WHERE l_quantity <= 40")
+def table_analyze(spark, sf):
+    """Statistics are stored with a version, and no longer valid after a write."""
+    t = stored(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity"))
+    t.delete("l_quantity > 40")
+    found = t.analyze()["l_returnflag"]
+    t.delete("l_quantity < 0")
+    t.update("l_quantity = 1", {"l_returnflag": "R"})
+    return spark.createDataFrame([(found["row_count"], found["distinct_count"], t.version.stats["l_returnflag"]["valid"])], "row_count long, kinds long, valid_after_write boolean")
+
+
+@_query("SELECT 'primary key' AS broken UNION ALL SELECT 'unique' UNION ALL SELECT 'not null' UNION ALL SELECT 'two rows, one key'")
+def table_update_violations(spark, sf):
+    """Updates that would break a constraint are refused."""
+    t = stored(table(spark, sf, "nation"), K.Constraints("n_nationkey", unique=["n_name"], not_null=["n_regionkey"]))
+    taken, broken = t.query("n_nationkey = 5", ["n_name"]).first()[0], []
+    for name, condition, values in (("primary key", "n_nationkey = 3", {"n_nationkey": 4}), ("unique", "n_nationkey = 3", {"n_name": taken}), ("not null", "n_nationkey = 3", {"n_regionkey": None}), ("two rows, one key", "n_nationkey > 3", {"n_nationkey": 99})):
+        try:
+            t.update(condition, values)
+        except ColonnadeError:
+            broken.append((name,))
+    return spark.createDataFrame(broken, "broken string")
+
+
+def _document(form: str) -> None:
+    """The whole table through a document file of a form and back; names, types, nulls and times stay."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = table(spark, sf, "orders").withColumn("o_totalprice", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+        path = document_path(spark, "orders")
+        files.save(from_frame(df, [(f.name, kind_of(f.dataType)) for f in df.schema], K.Constraints("o_orderkey")), path, form)
+        return narrow(to_frame(spark, files.load(path)), df)
+
+    run.__name__ = f"document_{form}"
+    _query("SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")(run)
+
+
+for _form in ("json", "binary", "compressed"):
+    _document(_form)
+
+
+@_query("SELECT o_orderkey, o_orderdate FROM orders")
+def document_columns(spark, sf):
+    """Two of a binary document's columns; the others are stepped over."""
+    df = table(spark, sf, "orders")
+    path = document_path(spark, "orders")
+    files.save(from_frame(df, [(f.name, kind_of(f.dataType)) for f in df.schema]), path)
+    return to_frame(spark, files.load(path, only={"o_orderkey", "o_orderdate"}))
+
+
+@_query("SELECT * FROM orders")
+def document_roundtrip(spark, sf):
+    """Written and overwritten as document files by Spark, and read back."""
+    datasource.register(spark)
+    df, path = table(spark, sf, "orders"), document_path(spark, "folder")
+    for _ in range(2):
+        df.repartition(3).write.format("colonnade").option("form", "binary").mode("overwrite").save(path)
+    return narrow(spark.read.format("colonnade").load(path), df)
+
+
+@_query("SELECT r_regionkey::BIGINT AS r_regionkey, CASE WHEN r_regionkey = 1 THEN 'west' ELSE r_name END AS r_name, NULL::DOUBLE AS area FROM region WHERE r_regionkey <> 0 UNION ALL SELECT 50, 'new', NULL")
+def document_log(spark, sf):
+    """A document with a log beside it: what was committed is applied, in order, and nothing else."""
+    df = table(spark, sf, "region")
+    path = document_path(spark, "region")
+    files.save(from_frame(df, [(f.name, kind_of(f.dataType)) for f in df.schema], K.Constraints("r_regionkey")), path)
+    files.append_log(path, [
+        {"op": "insert", "row": {"r_regionkey": 50, "r_name": "new"}}, {"op": "txn_begin", "txn_id": "a"}, {"op": "delete", "filter": "r_regionkey = 0", "pk_values": [0]}, {"op": "txn_commit", "txn_id": "a"},
+        {"op": "update", "filter": "r_regionkey = 1", "pk_values": [1], "values": {"r_name": "west"}}, {"op": "add_column", "name": "area", "col_type": "float"}, {"op": "txn_begin", "txn_id": "b"}, {"op": "delete", "filter": "r_regionkey = 2", "pk_values": [2]},
+    ])
+    return to_frame(spark, files.load(path))
+
+
+@_query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 100, 'ATLANTIS', 9")
+def document_in_place(spark, sf):
+    """A document file changed where it lies, through its log, and read again; its extensions stay."""
+    df = table(spark, sf, "nation")
+    path = document_path(spark, "nation")
+    files.save(from_frame(df, [(f.name, kind_of(f.dataType)) for f in df.schema], K.Constraints("n_nationkey"), extensions={"kept": [1]}), path, "json")
+    held = DocumentFile(spark, path)
+    held.insert([{"n_nationkey": 100, "n_name": "ATLANTIS", "n_regionkey": 9}])
+    held.delete("n_regionkey = 2")
+    held.compact()
+    again = DocumentFile(spark, path)
+    if again.doc.extensions != {"kept": [1]} or os.path.exists(files.log_path(path)):
+        raise StorageError("extensions or the log differ")
+    return again.query()
+
+
+@_query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000")
+def stream_append(spark, sf):
+    """A filtered stream into a table, twice from one checkpoint: nothing is inserted again."""
+    t = Table.create(spark, scratch(spark, "table"), [("c_custkey", "int"), ("c_acctbal", "float")], K.Constraints("c_custkey"))
+    source = scratch(spark, "stream")
+    table(spark, sf, "customer").select("c_custkey", "c_acctbal").repartition(3).write.parquet(source)
+    checkpoint = scratch(spark, "checkpoint")
+    for _ in range(2):
+        stream = where(spark.readStream.schema("c_custkey long, c_acctbal double").parquet(source), "c_acctbal > 5000")
+        append_stream(stream, t.root, checkpoint).awaitTermination()
+    return Table.open(spark, t.root).query()
 
 
 @_query(f"SELECT count(*) AS row_count, count(*) - count(q) AS null_count, count(DISTINCT q) AS distinct_count, min(q) AS min_v, max(q) AS max_v FROM {_NL}")
