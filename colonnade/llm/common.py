@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``, else under the context's checkpoint folder.
 
-    Where neither is set, a local run gets a folder of its own, and a cluster an error: its machines share none.
+    All folders of an application lie in one named after it, which can be deleted when its results have been read. Where neither is set, a local run gets a folder of its own, and a cluster an error: its machines share none.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="colonnade-"))
         base = _own_dir[0]
-    return f"{base.rstrip('/')}/colonnade/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/colonnade/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -166,7 +166,7 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             for key, copies, text, marks in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 if copies > 1 and len(raw) >= length:
-                    rows.append((key, b"", len(raw), 1))
+                    rows.append((key, b"", len(raw), 1, 0))
                     continue
                 kept, at, spans, end = [], 0, 0, -1
                 for a, b in sorted((m["from_"], m["to_"]) for m in marks or []):
@@ -176,8 +176,8 @@ def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                     at = end = max(end, b)
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                rows.append((key, left, len(raw) - len(left), spans))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), pa.binary(), pa.int64(), pa.int64()], strict=True)], names=["key", "kept", "n_removed", "n_spans"])
+                rows.append((key, left, len(raw) - len(left), spans, len(left.decode("utf-8", "ignore"))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["key", "kept", "n_removed", "n_spans", "n_chars"])
 
 
 def _key():
@@ -220,7 +220,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per distinct text: key (MD5 of the text), kept (its remaining bytes), n_removed, n_spans."""
+    """Per distinct text: key (MD5 of the text), kept (its remaining bytes), n_removed, n_spans, n_chars (whole characters left)."""
     spark = docs.sparkSession
     texts = docs.select(_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = materialize(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
@@ -228,7 +228,7 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     spans = repeated_spans(texts, length, gram)
     marks = spans.groupBy("tid").agg(F.collect_list(F.struct("from_", "to_")).alias("marks"))  # at most one text's spans
     marked = texts.join(marks, "tid", "left").select("key", "copies", "text", "marks")
-    return map_arrow(marked, lambda b: _remove(b, length), "key binary, kept binary, n_removed long, n_spans long")
+    return map_arrow(marked, lambda b: _remove(b, length), "key binary, kept binary, n_removed long, n_spans long, n_chars long")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -246,5 +246,5 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = kept_bytes(docs).select("key", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = kept_bytes(docs).select("key", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_chars")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key")).join(found, "key").drop("key")
