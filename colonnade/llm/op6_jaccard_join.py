@@ -9,8 +9,10 @@
 3. Prefixes. The others' shingles are ordered rare ones first, by hash within each kind. Rare ones
    in the prefix of n - ceil(0.8 n) + 1 are indexed singly. Where frequent ones reach into it, the prefix is extended
    and pairs of consecutive frequent shingles are indexed, the combinations of this method with k = 2: two sets that link and share no rare
-   shingle have o common ones and at most (n1 + n2) / 9 others between them, so some two common
-   ones stand next to each other in both, within the first 0.45 n + 3 frequent ones.
+   shingle have o >= 4/9 (n1 + n2) common ones, and the n1 + n2 - 2 o others part as many of the o - 1 neighbours
+   among them at most, so they share c >= 3 o - 1 - n1 - n2 >= 0.6 n - 1 pairs. Of a set's m pairs, the m - c + 1
+   rarest are therefore enough, by the count of the pair's rarer shingle and then by hash. A passage that very many documents hold
+   gives lists only to sets that have little else.
 4. Verification in two rounds. First every class against the head of each of its lists, the class with the
    fewest rare shingles, so of a family of copies the one with the fewest edits; the links give
    components. Then, in each list, only pairs from different components, so that a list of near
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, documents, map_arrow, materialize, partitions, release, text_bytes
+from .common import blocks, discard, documents, map_arrow, materialize, mix, partitions, release, text_bytes
 from .components import components
 from .shingles import shingle_sets
 
@@ -184,25 +186,38 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows (list_a, list_b, sid, n, at, rare): a rare shingle and 0, or two consecutive frequent ones; rare counts the set's rare ones."""
+    """Index rows (list_a, list_b, sid, n, rest, rare): a rare shingle and 0, or two consecutive frequent ones.
+
+    ``rest`` counts the row's shingle or pair and those behind it in the set's order; ``rare`` the set's rare ones.
+    """
     for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for sid, tokens, often in zip(*(batch.column(i) for i in range(3)), strict=True):
+        sids, ns = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+        for i, (tokens, often, counts) in enumerate(zip(*(batch.column(i) for i in (1, 2, 3)), strict=True)):
             t = np.array(tokens.values, np.int64)
-            q = np.sort(np.array(often.values, np.int64)) if often.is_valid else t[:0]
-            r = t[~np.isin(t, q)] if len(q) else t
-            n = len(t)
+            q, r, n = t[:0], t, int(ns[i])
+            if often.is_valid:
+                q = np.array(often.values, np.int64)
+                order = np.argsort(q)
+                q, count = q[order], np.array(counts.values, np.int64)[order]
+                r = t[~np.isin(t, q)]
             p = n - int(least_overlap(np.int64(n))) + 1
-            keys = [(r[:p], np.zeros(min(p, len(r)), np.int64), np.arange(min(p, len(r))))]
-            if len(r) < p:  # frequent shingles reach into the prefix
-                reach = q[: int(0.45 * n) + 3]
-                if n == 1 or len(q) == 1:
-                    keys.append((q[:1], q[:1], np.full(1, len(r))))
-                keys.append((reach[:-1], reach[1:], len(r) + np.arange(len(reach) - 1)))
-            for a, b, at in keys:
-                for c, v in zip(cols, (a, b, np.full(len(a), sid.as_py()), np.full(len(a), n), at, np.full(len(a), len(r))), strict=True):
+            keys = [(r[:p], np.zeros(min(p, len(r)), np.int64), n - np.arange(min(p, len(r))))]
+            if len(r) < p and len(q) > 1:  # frequent shingles reach into the prefix
+                m = len(q) - 1
+                x, y = q[:-1], q[1:]
+                hashed = mix(x.view(np.uint64) ^ mix(y.view(np.uint64)))
+                first = np.lexsort((hashed, np.minimum(count[:-1], count[1:])))[: max(m - shared_pairs(n) + 1, 0)]
+                keys.append((x[first], y[first], m - np.arange(len(first))))
+            for a, b, rest in keys:
+                for c, v in zip(cols, (a, b, np.full(len(a), sids[i]), np.full(len(a), n), rest, np.full(len(a), len(r))), strict=True):
                     c.append(v.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["list_a", "list_b", "sid", "n", "at", "rare"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["list_a", "list_b", "sid", "n", "rest", "rare"])
+
+
+def shared_pairs(n: int) -> int:
+    """How many pairs of consecutive frequent shingles a set of n shares at least with any that it links with, if they share no rare one: ceil(0.6 n - 1)."""
+    return max(1, -(-(6 * n - 10) // 10))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +240,13 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(map_arrow(found, _verify, "u long, v long"), "links")
 
 
-def _may_link(n1, at1, n2, at2):
-    """Size and position filters: sets of n1 and n2 in one list, with its shingle, or its pair's first one, at these places of their orders.
+def _may_link(n1, rest1, n2, rest2):
+    """Size and position filters on two sets of n1 and n2 in one list: what stands at and behind its shingle, or pair, must hold all that linked sets share.
 
-    A set's first common shingle is looked up singly, so none lies before it; before a pair as many may as both sets have places there.
+    That holds of their first common shingle or pair, which is looked up.
     """
     need = F.ceil((n1 + n2) * PERCENT / (100 + PERCENT))
-    before = F.when(F.col("list_b") == 0, F.lit(0)).otherwise(F.least(at1, at2))
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (before + F.least(n1 - at1, n2 - at2) >= need)
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (F.least(rest1, rest2) >= F.when(F.col("list_b") == 0, need).otherwise(3 * need - 1 - n1 - n2))
 
 
 def live_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -257,15 +271,16 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     release(spark)
     discard(live)
     shingles = sets.select("sid", F.explode("tokens").alias("token"))
-    often = shingles.groupBy("token").count().where(F.col("count") > FREQUENT).select("token")
-    held = shingles.join(often, "token").groupBy("sid").agg(F.collect_list("token").alias("often"))  # at most one set's shingles
-    index = materialize(map_arrow(sets.join(held, "sid", "left").select("sid", "tokens", "often"), _index, "list_a long, list_b long, sid long, n long, at long, rare long"), "index")
+    often = shingles.groupBy("token").count().where(F.col("count") > FREQUENT)
+    held = shingles.join(often, "token").groupBy("sid").agg(F.collect_list(F.struct("token", "count")).alias("often"))  # at most one set's shingles
+    listed = sets.join(held, "sid", "left").select("sid", "tokens", F.col("often.token").alias("often"), F.col("often.count").alias("counts"))
+    index = materialize(map_arrow(listed, _index, "list_a long, list_b long, sid long, n long, rest long, rare long"), "index")
     release(spark)
     key = ["list_a", "list_b"]
-    heads = index.groupBy(*key).agg(F.min(F.struct("rare", "sid", "n", "at")).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-    lists = materialize(index.join(heads, key).select(*key, "sid", "n", "at", "head"), "lists")
+    heads = index.groupBy(*key).agg(F.min(F.struct("rare", "sid", "n", "rest")).alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
+    lists = materialize(index.join(heads, key).select(*key, "sid", "n", "rest", "head"), "lists")
     discard(index)
-    stars = lists.where(F.col("sid") != F.col("head.sid")).where(_may_link(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
+    stars = lists.where(F.col("sid") != F.col("head.sid")).where(_may_link(F.col("n"), F.col("rest"), F.col("head.n"), F.col("head.rest")))
     links = _links(stars.select(F.col("head.sid").alias("u"), F.col("sid").alias("v")).distinct(), sets)
     first = materialize(components(links), "components")
     # the rest: in each list, members outside its largest component against all members outside their own
@@ -274,9 +289,9 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = named.groupBy(*key, "component").count().groupBy(*key).agg(F.max(F.struct("count", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
     split = materialize(named.join(sizes.select(*key, F.col("largest.component").alias("main")), key), "split-lists")
     discard(lists)
-    few = split.where(F.col("component") != F.col("main")).select(*key, *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "at", "component", *SKETCH)))
+    few = split.where(F.col("component") != F.col("main")).select(*key, *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "rest", "component", *SKETCH)))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))  # at most the number of shingles in one set only
-    cross = split.join(few, key).where(F.col("component") != F.col("component2")).where(_may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"))).where(apart * (100 + PERCENT) <= (F.col("n") + F.col("n2")) * (100 - PERCENT))
+    cross = split.join(few, key).where(F.col("component") != F.col("component2")).where(_may_link(F.col("n"), F.col("rest"), F.col("n2"), F.col("rest2"))).where(apart * (100 + PERCENT) <= (F.col("n") + F.col("n2")) * (100 - PERCENT))
     rest = cross.select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct()
     more = _links(rest, sets)
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)

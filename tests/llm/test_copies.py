@@ -160,6 +160,30 @@ def test_jaccard_join_of_frequent_shingles_at_the_bound(make_docs, monkeypatch,
     assert all(found[i + 1] == (9, i) for i in range(0, len(texts), 5))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_join_of_templates(make_docs, monkeypatch, seed, spark):
+    """Texts put together from few passages, so that all shingles but those across seams are frequent; many pairs lie near the bound."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    rnd = random.Random(seed)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=9)) for _ in range(n))
+    passages = [words(rnd.choice((4, 9, 14, 30))) for _ in range(12)]
+    texts = []
+    for _ in range(160):
+        chosen = rnd.sample(passages, rnd.randint(1, 6))
+        texts.append(" ".join(sorted(chosen) if rnd.random() < 0.7 else chosen))
+    docs = make_docs(texts)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs).collect()}
+    assert found == brute_components(docs)
+
+
+def test_least_number_of_shared_pairs():
+    for n1 in range(4, 80):
+        for n2 in range(n1, n1 * 5 // 4 + 1):
+            o = -(-(n1 + n2) * 80 // 180)
+            if o <= n1 and o < n2:  # different sets that may link
+                assert 3 * o - 1 - n1 - n2 >= max(jaccard.shared_pairs(n1), jaccard.shared_pairs(n2)) >= 1
+
+
 def test_jaccard_join_small_cases(make_docs, spark):
     assert jaccard.link_documents(make_docs([])).count() == 0
     text = "one two three four five six"
