@@ -75,8 +75,8 @@ class CellIndex:
     ten nearest neighbours, so it follows how clustered the vectors are. Tables of cells are Parquet partitioned by cell, so a search reads the probed cells only.
     """
 
-    def __init__(self, centres: np.ndarray, column: str, default_probes: int | None = None):
-        self.centres, self.column = centres, column
+    def __init__(self, centres: np.ndarray, column: str, default_probes: int | None = None, rows: int | None = None):
+        self.centres, self.column, self.rows = centres, column, rows
         self.default_probes = default_probes or len(centres)
 
     @classmethod
@@ -101,7 +101,7 @@ class CellIndex:
             np.add.at(sums, own, x)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-        return cls(centres, column, cls._calibrate(x, centres, rng))
+        return cls(centres, column, cls._calibrate(x, centres, rng), n)
 
     @staticmethod
     def _calibrate(x: np.ndarray, centres: np.ndarray, rng: np.random.Generator) -> int:
@@ -138,7 +138,7 @@ class CellIndex:
     def save(self, df: DataFrame, path: str) -> None:
         """Write the assigned table and the centres under ``path``."""
         spark = df.sparkSession
-        self.write_cells(df, f"{path}/cells", df.count())
+        self.write_cells(df, f"{path}/cells", df.count() if self.rows is None else self.rows)
         spark.createDataFrame([(json.dumps({"column": self.column, "probes": self.default_probes, "centres": self.centres.tolist()}),)], "value string").coalesce(1).write.text(f"{path}/centres")
 
     @classmethod
