@@ -264,8 +264,9 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     live = live_classes(docs, rows)
     release(spark)
-    keys = rows.join(live, NAME, "left_semi").groupBy(*NAME).agg(F.min(F.struct(*KEY)).alias("key")).select("key.*").distinct()
-    texts = docs.select(*_text_key(), "text").join(keys, KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+    # copies are put together within each map task, before they are dealt: a text that very many rows hold sends one a task
+    keys = rows.groupBy(*NAME).agg(F.min(F.struct(*KEY)).alias("key")).join(live, NAME, "left_semi").select("key.*")
+    texts = docs.select(*_text_key(), "text").groupBy(*KEY).agg(F.first("text").alias("text")).join(keys, KEY, "left_semi")
     found = map_arrow(texts.select("text"), _sets, "d1 long, d2 long, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
     sets = materialize(found.withColumn("sid", F.monotonically_increasing_id()), "sets")  # a class has one text here
     release(spark)
