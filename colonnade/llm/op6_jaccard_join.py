@@ -323,7 +323,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     linked = class_links(docs, some).join(least, NAME)
     of_all = linked.groupBy("component").agg(F.min("least").alias("of_all"))
     named = least.join(linked.select(*NAME, "component").join(of_all, "component").drop("component"), NAME, "left")
-    named = named.select(*NAME, F.coalesce("of_all", "least").alias("component_id"))
+    # written, so that Spark can split a class of very many copies in the join with the rows
+    named = materialize(named.select(*NAME, F.coalesce("of_all", "least").alias("component_id")), "named-classes")
     joined = some.join(named, NAME).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
