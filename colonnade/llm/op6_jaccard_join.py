@@ -296,7 +296,7 @@ def class_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     rest = cross.select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct()
     more = _links(rest, sets)
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-    joined = components(edges).join(sets.select(F.col("sid").alias("node"), *NAME), "node").select(*NAME, "component")
+    joined = (components(edges) if more.head(1) else first).join(sets.select(F.col("sid").alias("node"), *NAME), "node").select(*NAME, "component")
     found = materialize(joined, "class-links")
     for table in (split, links, first, more, sets):
         discard(table)
