@@ -322,7 +322,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     least = some.groupBy(*NAME).agg(F.min("doc_id").alias("least"))  # copies first: a component then is its classes
     linked = class_links(docs, some).join(least, NAME)
     of_all = linked.groupBy("component").agg(F.min("least").alias("of_all"))
-    named = least.join(linked.select(*NAME, "component").join(of_all, "component").drop("component"), NAME, "left")
+    # a left join, so that the classes are never the side sent to a component's task: one component may hold a third of them
+    linked = linked.select(*NAME, "component").join(of_all, "component", "left").drop("component")
+    named = least.join(linked, NAME, "left")
     # written, so that Spark can split a class of very many copies in the join with the rows
     named = materialize(named.select(*NAME, F.coalesce("of_all", "least").alias("component_id")), "named-classes")
     joined = some.join(named, NAME).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
