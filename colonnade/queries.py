@@ -21,7 +21,7 @@ from .operators import vector_search as V
 from .operators.join import inner_join
 from .plans.expression import Compare
 from .plans.predicate import where
-from .sources import datasource, files
+from .sources import datasource, files, parts
 from .sources.document import from_frame, to_frame
 from .sources.inplace import DocumentFile
 from .store import Table, apply_json
@@ -447,8 +447,8 @@ def _document(form: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         df = table(spark, sf, "orders").withColumn("o_totalprice", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
         path = document_path(spark, "orders")
-        files.save(from_frame(df, [(f.name, kind_of(f.dataType)) for f in df.schema], K.Constraints("o_orderkey")), path, form)
-        return narrow(to_frame(spark, files.load(path)), df)
+        parts.save_frame(df, path, [(f.name, kind_of(f.dataType)) for f in df.schema], form, K.Constraints("o_orderkey"))
+        return narrow(parts.load_frame(spark, path), df)
 
     run.__name__ = f"document_{form}"
     _query("SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")(run)
