@@ -463,8 +463,8 @@ def document_columns(spark, sf):
     """Two of a binary document's columns; the others are stepped over."""
     df = table(spark, sf, "orders")
     path = document_path(spark, "orders")
-    files.save(from_frame(df, [(f.name, kind_of(f.dataType)) for f in df.schema]), path)
-    return to_frame(spark, files.load(path, only={"o_orderkey", "o_orderdate"}))
+    parts.save_frame(df, path, [(f.name, kind_of(f.dataType)) for f in df.schema])
+    return parts.load_frame(spark, path, {"o_orderkey", "o_orderdate"})
 
 
 @_query("SELECT * FROM orders")
