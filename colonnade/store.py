@@ -42,8 +42,10 @@ FILE_PARTS = 3
 LAYOUTS = ("hash", "sorted")
 #: Records between two that list all files.
 FULL_EVERY = 20
-#: Compaction aims at files of so many bytes in memory, and comes by itself when a commit leaves so many files smaller than that on average.
+#: Rewriting aims at files of so many bytes in memory, where a task sorts them, and compaction comes by itself when a commit leaves so many files smaller than that on average.
 FILE_BYTES, SMALL_FILES = 512 << 20, 200
+#: Bytes of a row beside its cells where it is sorted: its length, nulls, and a pointer with its prefix in an array that doubles.
+ROW_BYTES = 48
 
 
 class _Files:
@@ -395,12 +397,20 @@ class Table:
         """Bytes of the stored files, by Spark's own listing."""
         return int(str(self._stored()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if self.version.files else 0
 
+    def _spread(self, df: DataFrame, least: int = 1) -> DataFrame:
+        """Rows in ranges of insertion order of ``FILE_BYTES`` in memory at most, told by the cells: on disk, repeated ones take next to nothing."""
+        sizes = [F.octet_length(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType) else _array_bytes(f) for f in df.schema if isinstance(f.dataType, (T.StringType, T.ArrayType))]
+        wide = functools.reduce(Column.__add__, [F.coalesce(x, F.lit(0)).cast("long") for x in sizes], F.lit(ROW_BYTES + 8 * len(df.columns)).cast("long"))
+        held = df.agg(F.sum(wide)).first()[0] or 0
+        return df.repartitionByRange(max(least, -(-held // FILE_BYTES)), ROW)
+
     def compact(self, files: int | None = None) -> None:
-        """Rewrite all rows into ``files`` files, or as many as their bytes need, in insertion order within each."""
+        """Rewrite all rows into ``files`` files, or as many as their bytes in memory need, in insertion order within each."""
         stored = self._stored()
-        n = files or max(1, -(-self._bytes() // FILE_BYTES))
-        spread = stored.repartitionByRange(n, ROW).sortWithinPartitions(ROW) if self.version.files else stored
-        written = self._write(spread) if self.version.files else []
+        written = []
+        if self.version.files:
+            spread = stored.repartitionByRange(files, ROW) if files else self._spread(stored)
+            written = self._write(spread.sortWithinPartitions(ROW))
         kept = {"stats": self.version.stats, "layouts": self.version.layouts}
         self._publish("compact", files=written, compacted=len(written), **kept)
 
@@ -500,6 +510,13 @@ class Transaction:
         return touched
 
 
+def _array_bytes(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType.elementType, T.StringType):
+        return F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    return F.size(c) * 8
+
+
 def _first_unsorted(stored: DataFrame, column: str) -> str | None:
     """A file in which a value is followed by a smaller one; nulls come first. Each task looks at its own rows, in their order."""
     c = named(stored.schema, column)

@@ -246,3 +246,16 @@ def test_document_log_is_compacted(spark, tmp_path):
     open(path, "w").write(json.dumps(stored))
     with pytest.raises(StorageError):
         DocumentFile(spark, path).check()
+
+
+def test_files_bounded_in_memory(spark, tmp_path, monkeypatch):
+    """Rewritten files are bounded by what their rows take in memory: cells that repeat are small on disk."""
+    monkeypatch.setattr(store, "FILE_BYTES", 4 << 20)
+    t = Table.create(spark, str(tmp_path / "t"), [("id", "int"), ("s", "string"), ("a", "array<string>")])
+    wide = spark.range(8_000).selectExpr("id", "repeat('x', 1500) AS s", "array('y', null) AS a")
+    t.append(wide.coalesce(1))
+    t.create_layout("id", "sorted")
+    assert sum(os.path.getsize(f"{t.root}/{f}") for f in t.version.files) < 1 << 20
+    rows = lambda: [spark.read.parquet(f"{t.root}/{f}").count() for f in t.version.files]
+    assert sum(rows()) == 8_000 and max(rows()) < 4_000 and t.query(limit=3).collect() == wide.limit(3).collect()
+    t.check()
