@@ -501,7 +501,8 @@ class Transaction:
             con.check(untouched.unionByName(rest).drop(ROW), keys)
         files = [f for f in version.files if f not in hit_files]
         if hit:
-            files += table._write(rest)
+            ordered = "sorted" in version.layouts.values()  # a task sorts what it writes, so it gets no more than fits
+            files += table._write(table._spread(rest, len(hit)) if ordered else rest)
         next_row, total = version.next_row, version.row_count - lost
         if added:
             more, n, next_row = table._added(new)

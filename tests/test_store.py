@@ -258,4 +258,8 @@ def test_files_bounded_in_memory(spark, tmp_path, monkeypatch):
     assert sum(os.path.getsize(f"{t.root}/{f}") for f in t.version.files) < 1 << 20
     rows = lambda: [spark.read.parquet(f"{t.root}/{f}").count() for f in t.version.files]
     assert sum(rows()) == 8_000 and max(rows()) < 4_000 and t.query(limit=3).collect() == wide.limit(3).collect()
+    t.compact(1)
+    assert len(t.version.files) == 1
+    assert t.delete("id >= 7900") == 100
+    assert sum(rows()) == 7_900 and max(rows()) < 4_000
     t.check()
