@@ -35,9 +35,13 @@ class _Reader(DataSourceReader):
         yield from to_arrow(load(partition.path, only=set(self.names))).select(self.names).to_batches()
 
 
+#: Bounds of a document that a task writes: its rows, and their bytes in Arrow.
+DOCUMENT_ROWS, DOCUMENT_BYTES = 131_072, 32 << 20
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    file: str
+    files: list[str]
 
 
 def _cells(column: pa.ChunkedArray | pa.Array, kind: str) -> list:
@@ -48,8 +52,24 @@ def _cells(column: pa.ChunkedArray | pa.Array, kind: str) -> list:
     return [None if v is None else v.isoformat(timespec="microseconds").rstrip("0").rstrip(".") + "Z" for v in micros]
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in their order, in groups of a document's bounds; a single batch of long cells is cut."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        step = max(1, int(min(batch.num_rows, DOCUMENT_ROWS) * min(1.0, DOCUMENT_BYTES / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            if held and (rows + part.num_rows > DOCUMENT_ROWS or size + part.nbytes > DOCUMENT_BYTES):
+                yield held
+                held, rows, size = [], 0, 0
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.nbytes
+    if held:
+        yield held
+
+
 class _Writer(DataSourceArrowWriter):
-    """Each task writes the rows of its partition as one document into a folder of the job's own.
+    """Each task writes the rows of its partition as documents of a bounded size into a folder of the job's own; without rows, as an empty one.
 
     On commit the files of the successful attempts are moved beside the others, or take their place
     on overwrite; what other attempts have written goes with the job's folder.
@@ -61,25 +81,32 @@ class _Writer(DataSourceArrowWriter):
         self.own = f"{path}/_pending-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        os.makedirs(self.own, exist_ok=True)
+        files: list[str] = []
+        for batches in _bounded(iterator):
+            files.append(self._document(batches))
+        return _Written(files or [self._document([])])
+
+    def _document(self, batches: list[pa.RecordBatch]) -> str:
         from ..operators.constraints import Constraints
         from .document import Document, check_rules
         from .files import save
 
-        os.makedirs(self.own, exist_ok=True)
         cells: dict[str, list] = {n: [] for n, _ in self.columns}
-        for batch in iterator:
+        for batch in batches:
             for i, (n, kind) in enumerate(self.columns):
                 cells[n] += _cells(batch.column(i), kind)
         check_rules(self.columns, cells, Constraints())
         file = f"part-{uuid.uuid4().hex}"
         save(Document(self.columns, cells), f"{self.own}/{file}", self.form)
-        return _Written(file)
+        return file
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         before = _documents(self.path) if self.overwrite else []
         for m in messages:
             if m is not None:
-                os.replace(f"{self.own}/{m.file}", f"{self.path}/{m.file}")
+                for file in m.files:
+                    os.replace(f"{self.own}/{file}", f"{self.path}/{file}")
         for old in before:
             for name in (old, f"{old}.wal", f"{old}.lock"):
                 if os.path.exists(name):

@@ -186,3 +186,23 @@ def test_times_in_other_zones(tmp_path, system, session):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", ZONES, root, str(tmp_path / "z"), session], env=os.environ | {"TZ": system}, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_documents_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    """A task writes documents of a bounded size, all of its rows in their order; one without rows writes an empty document."""
+    path = str(tmp_path / "out")
+    os.makedirs(path)
+    df = spark.range(1_000).selectExpr("id", "if(id % 3 = 0, null, repeat('t', 40)) AS s").coalesce(1)
+    batches = df.toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(datasource, "DOCUMENT_ROWS", 300)
+    for most, least in ((1 << 20, 4), (4_000, 8)):
+        monkeypatch.setattr(datasource, "DOCUMENT_BYTES", most)
+        writer = datasource._Writer(path, df.schema, "binary", True)
+        done = writer.write(iter(batches))
+        docs = [files.load(f"{writer.own}/{f}") for f in done.files]
+        assert len(docs) >= least and max(d.row_count for d in docs) <= 300
+        assert [v for d in docs for v in d.data["id"]] == list(range(1_000))
+        writer.commit([done])
+        assert len(os.listdir(path)) == len(docs) + len([n for n in os.listdir(path) if n.endswith(".lock")])
+    writer = datasource._Writer(path, df.schema, "binary", True)
+    assert [files.load(f"{writer.own}/{f}").row_count for f in writer.write(iter([])).files] == [0]
