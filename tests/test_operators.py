@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from colonnade.errors import InsertError, NotNullViolation, PrimaryKeyViolation, QueryError, SchemaError, TypeMismatch, UniqueViolation
 from colonnade.operators import aggregate as agg
@@ -168,3 +169,14 @@ def test_vectors_of_32_bits(spark):
     found = vs.top_k_f32(df, "v", [0.1, 0.2], 2, ["id"])
     assert dict(found.dtypes)["similarity"] == "float"
     assert [r.id for r in found.collect()] == [1, 2] and found.first().similarity == 1.0
+
+
+def test_join_as_text_uses_all_cores(spark, tmp_path):
+    """Two small files with few keys make a large result: its rows come from as many tasks as there are cores."""
+    for name, n in (("l", 40), ("r", 4_000)):
+        spark.range(n).selectExpr("id", "id % 3 AS k").coalesce(1).write.parquet(str(tmp_path / name))
+    l, r = (spark.read.parquet(str(tmp_path / name)) for name in "lr")  # noqa: E741
+    for a, b in ((l, r), (r, l)):
+        out = inner_join(a.withColumn("k", F.col("k").cast("double")), b, "k", "k", as_text=True)
+        assert out.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+        assert out.count() == sum(len(range(k, 40, 3)) * len(range(k, 4_000, 3)) for k in range(3))
